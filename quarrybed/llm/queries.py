@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality, rules, sharding
+from . import chat, decontamination, html, language, packing, quality, rules, sharding, warc
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -57,13 +62,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,5 +130,35 @@ f AS (
     + CASE WHEN 10 * n_exclaim > 2 * n_words THEN 128 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept,
        CAST(bits AS BIGINT) AS fail_bits FROM f
+""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN winner IS NOT NULL AND page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM p LEFT JOIN w ON p.d = w.d
+""",
+    "op8_chat_formatting": r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM m),
+s AS (SELECT conv_id, turn, len(regexp_extract(line, '^[ \t]*(>[ \t]?)+', 0)) - len(replace(regexp_extract(line, '^[ \t]*(>[ \t]?)+', 0), '>', '')) AS level,
+       trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(>[ \t]?)+', '')), '\s+', ' ', 'g')) AS said FROM l),
+o AS (SELECT conv_id, said, min(turn) AS origin FROM s WHERE level = 0 AND said <> '' GROUP BY ALL),
+v AS (SELECT s.conv_id, s.turn, o.origin, count(*) AS n, count(*) FILTER (level = 1) AS outer_n
+      FROM s LEFT JOIN o ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.said = o.said AND o.origin < s.turn WHERE level > 0 AND s.said <> '' GROUP BY ALL),
+q AS (SELECT conv_id, turn, sum(n) AS n_quoted, sum(n) FILTER (origin IS NOT NULL) AS n_linked,
+             max({'n': outer_n, 'o': origin}) FILTER (origin IS NOT NULL AND outer_n > 0).o AS quoted_turn FROM v GROUP BY ALL),
+node AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m)),
+tree AS (SELECT node.conv_id, node.turn, coalesce(quoted_turn, prev) AS reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
+         FROM node LEFT JOIN q ON node.conv_id IS NOT DISTINCT FROM q.conv_id AND node.turn = q.turn),
+deep AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM tree WHERE reply_to IS NULL UNION ALL
+         SELECT tree.conv_id, tree.turn, depth + 1 FROM deep JOIN tree ON tree.conv_id IS NOT DISTINCT FROM deep.conv_id AND tree.reply_to = deep.turn)
+SELECT m.conv_id, m.turn, role,
+       regexp_replace(array_to_string([x FOR x IN regexp_split_to_array(text, '\r?\n') IF NOT regexp_matches(x, '^[ \t]*>')], chr(10)), '^\s+|\s+$', '', 'g') AS text,
+       reply_to, depth, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked,
+       row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn, role, text) - 1 AS position
+FROM m JOIN tree ON m.conv_id IS NOT DISTINCT FROM tree.conv_id AND m.turn = tree.turn
+JOIN deep ON m.conv_id IS NOT DISTINCT FROM deep.conv_id AND m.turn = deep.turn
 """,
 }
