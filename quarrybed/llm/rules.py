@@ -78,17 +78,23 @@ def _covered(ordered: Column) -> Column:
     return F.size(F.array_distinct(places))
 
 
+def _evaluated(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with the columns, each evaluated once: a filter on what is derived from them is not pushed below the
+    generator, where it would repeat their expressions many times over."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_m")
+    return rows.select("*", made).select(*rows.columns, *[F.col(f"_m.{n}").alias(n) for n in columns])
+
+
 def ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the measurements and fail_bits (bit i: rule i failed)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_words", F.filter(F.split(body, SPACE), lambda w: w != ""))
-    # evaluated once: later columns read the array, not the expression
-    out = out.withColumn("_grams", _ordered_windows(F.col("_words")))
+    words = F.filter(F.split(body, SPACE), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    out = out.withColumn("_lines", lines)
     count = lambda chars: (F.length(body) - _length_without(body, chars)).cast("bigint")
-    upper, lower = F.upper(body), F.lower(body)
-    out = out.withColumns(
+    out = _evaluated(docs, {"_words": words, "_lines": lines})
+    out = _evaluated(out, {"_grams": _ordered_windows(F.col("_words"))})
+    out = _evaluated(
+        out,
         {
             "n_words": F.size("_words").cast("bigint"),
             "word_chars": _length_without(body, SPACE_CHARS).cast("bigint"),
@@ -99,7 +105,7 @@ def ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RUL
             "n_letters": F.length(F.regexp_replace(body, r"\P{L}+", "")).cast("bigint"),
             "n_upper": F.length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("bigint"),
             "n_exclaim": count("!"),
-        }
+        },
     ).drop("_words", "_grams", "_lines")
     bits = None
     for i, r in enumerate(rules):
