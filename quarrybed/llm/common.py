@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,6 +49,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns whose names the caller's own output takes."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def sheltered(df: DataFrame, **named: str) -> DataFrame:
+    """The whole row as one struct `_row`, beside the columns an operator needs: no other name can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(row, *[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """The rows of sheltered() as they were."""
+    return df.select("_row.*")
+
+
 def extended(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     """schema with further columns (name, DDL type); a clashing name is a caller's error."""
     out = T.StructType(list(schema.fields))

@@ -10,7 +10,8 @@ The training text is never shuffled. The test set is broadcast in blocks of at m
 larger test set takes one scan per block and the hit spans are merged per document.
 
 Edge cases: null and empty texts have no words (n_words 0, no hits); repeated rows each get their own result; an
-item without words has no windows; an item shorter than the window is one window; an empty test set hits nothing.
+item without words has no windows; an item shorter than the window is one window; an empty test set hits nothing;
+input columns named like an output are replaced by it, and filters return rows as they were.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, map_texts, texts_of
+from .common import extended, map_texts, restored, sheltered, texts_of, without
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
@@ -255,6 +256,7 @@ def find_contamination(
 ) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (merged word ranges) and hit_items (sorted item ids)."""
     spark = docs.sparkSession
+    docs = without(docs, "n_words", "n_hit", "hit_spans", "hit_items")
     blocks = test_blocks(benchmark, item_id, item_text, block_bytes)
     schema = extended(docs.schema, ("n_words", "bigint"), ("hit_spans", SPANS), ("hit_items", "array<string>"))
 
@@ -309,9 +311,10 @@ def with_verdict(found: DataFrame, ratio: int = 20) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """docs without the contaminated ones, columns unchanged."""
-    return with_verdict(find_contamination(docs, benchmark, **options)).where(~F.col("contaminated")).select(*docs.columns)
+    found = with_verdict(find_contamination(sheltered(docs, text=text), benchmark, **options))
+    return restored(found.where(~F.col("contaminated")))
 
 
 def longest_matches(

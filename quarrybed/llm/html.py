@@ -12,7 +12,7 @@ a template.
 
 Edge cases: null and empty html give an empty text; null urls share one host; hosts with fewer than three pages have no
 template, only mark-up decides; unclosed tags end with their container; repeated rows are extracted each; an empty
-table gives an empty result.
+table gives an empty result; an input column named text is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, map_texts, persist_shared, texts_of
+from .common import extended, map_texts, persist_shared, texts_of, without
 
 #: A comment, a declaration, or a tag with its attributes.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -184,8 +184,9 @@ BROADCAST_TOKENS = 1 << 20
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", **options) -> DataFrame:
     """pages with text, the main text. Templates go to the tasks by broadcast where they have at most
     BROADCAST_TOKENS tokens, else by a join on the host that can be split where one host is large."""
-    templates = persist_shared(deduce_templates(pages, url=url, html=html, **options), "templates").withColumnRenamed("host", "_host")
-    size = templates.agg(F.sum(F.size("template"))).first()[0] or 0
+    pages = without(pages, "text", "_host", "_template")
+    templates = persist_shared(deduce_templates(pages, url=url, html=html, **options), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    size = templates.agg(F.sum(F.size("_template"))).first()[0] or 0
     side = F.broadcast(templates) if size <= BROADCAST_TOKENS else templates
     joined = pages.join(side, host_of(url) == F.col("_host"), "left").drop("_host")
     schema, width = extended(pages.schema, ("text", "string")), len(pages.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, persist_shared, texts_of
+from .common import map_texts, persist_shared, restored, sheltered, texts_of
 
 #: ASCII letters are lower-cased; ASCII white space separates words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -424,4 +424,5 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFra
     set do), columns unchanged."""
     found = near_duplicates(docs, doc_id=doc_id, **options)
     keep = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+    rows = sheltered(docs, doc_id=doc_id)
+    return restored(rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi"))

@@ -7,7 +7,8 @@ driver. As both layers are linear, scoring looks up one row of class logits per
 rejection threshold are calibrated on sample rows that training did not see.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; without a labelled document all are `und`;
-ties go to the language first in order; very long texts are read whole; repeated rows are predicted each.
+ties go to the language first in order; very long texts are read whole; repeated rows are predicted each; input
+columns named like an output are replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, map_texts, texts_of
+from .common import extended, map_texts, texts_of, without
 from .quality import held_out
 
 BUCKETS = 1 << 15
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", reject: bool = True) -> DataFrame:
     """docs with lang_pred, score and rejected (below the calibrated threshold; then lang_pred is `und` if `reject`)."""
+    docs = without(docs, "lang_pred", "score", "rejected")
     schema = extended(docs.schema, ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean"))
     names = schema.names
 

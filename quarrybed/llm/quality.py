@@ -8,7 +8,8 @@ differences.
 
 Edge cases: null and empty texts have the statistics of an empty text and get a score; labels that are null count
 for nothing; a document with several labels counts once for each; without both classes the score is the share of
-label 1 (0.5 without labels); repeated rows are scored each; an empty table gives an empty result.
+label 1 (0.5 without labels); repeated rows are scored each; an empty table gives an empty result; an
+input column named score is replaced, and keep_good returns rows as they were.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, map_texts, texts_of
+from .common import extended, map_texts, restored, sheltered, texts_of, without
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "mean_word", "log_longest_word", "upper", "digits", "symbols", "exclaim", "stops", "commas",
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: s
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with score."""
+    docs = without(docs, "score")
     schema = extended(docs.schema, ("score", "double"))
     names = schema.names
 
@@ -228,5 +230,5 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns) -> DataFrame:
     """docs whose score reaches the threshold, columns unchanged."""
-    scored = score(docs, fit(docs, labels, **columns), text=columns.get("text", "text"))
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    scored = score(sheltered(docs, text=columns.get("text", "text")), fit(docs, labels, **columns))
+    return restored(scored.where(F.col("score") >= threshold))

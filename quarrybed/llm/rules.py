@@ -7,7 +7,7 @@ another look at a text.
 
 Edge cases: null and empty texts have no words and fail min_words; very long texts are measured whole (sorts and
 hash sets inside the row, no quadratic step); repeated rows each have their own ledger row; an empty table gives
-an empty ledger.
+an empty ledger; input columns named like an output are replaced by it, and keep_good returns rows as they were.
 """
 
 from __future__ import annotations
@@ -17,12 +17,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, sheltered, without
+
 #: What separates words, and the symbols that count.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_exclaim")
+
+
 @dataclass(frozen=True)
 class Rule:
     """fails is a SQL condition over the measurements."""
@@ -87,6 +92,7 @@ def _evaluated(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def ledger(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the measurements and fail_bits (bit i: rule i failed)."""
+    docs = without(docs, *MEASURES, "fail_bits", "_words", "_lines", "_grams", "_m")
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(body, SPACE), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
@@ -150,4 +156,4 @@ def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
 
 def keep_good(docs: DataFrame, policy: Policy = POLICIES[-1], *, text: str = "text") -> DataFrame:
     """docs that the policy keeps, columns unchanged."""
-    return apply_policy(ledger(docs, text=text), policy).where("kept").select(*docs.columns)
+    return restored(apply_policy(ledger(sheltered(docs, text=text)), policy).where("kept"))
