@@ -1 +1 @@
-"""Sources."""
+"""Sources: binary and text artifacts as DataFrames."""
