@@ -45,11 +45,13 @@ ARTICLE = frozenset(("article", "main"))
 #: What never holds main text.
 SKIPPED = frozenset("head nav aside form footer dialog noscript template button select svg math canvas object audio video menu".split())
 UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"(?:^|[-_\s])(?:ad\d*|ads\w*|advert\w*|alert|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side-bar|widget\w*|related|recommend\w*|share|sharing|social|footer|masthead|site-header|page-header|topbar|"
     r"comment|comments|commentlist|disqus|respond|replies|reader-comments|skip-link|toolbar|pagination|pager|search)(?:$|[-_\s])",
     re.I,
 )
+#: Outside an article the head of the page, named as a whole word.
+PAGE_HEAD = re.compile(r"(?:^|\s)(?:header|head|top-?bar|top-?nav)(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote address hr li".split())
 
@@ -82,7 +84,9 @@ class Page:
             label = f"{found.get('id', '')} {found.get('class', '')}".strip()
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES
         # a header inside the article is the article's own
-        own = name in SKIPPED or (name == "header" and not article) or hidden or bool(label and name not in ("html", "body") and UNWANTED.search(label))
+        own = name in SKIPPED or hidden or (name == "header" and not article)
+        if label and name not in ("html", "body"):
+            own = own or bool(UNWANTED.search(label)) or (not article and bool(PAGE_HEAD.search(label)))
         path = f"{path}/{name}.{label}" if label else f"{path}/{name}"
         self.tags[path] = self.tags.get(path, 0) + 1
         self._stack.append((name, path, article or name in ARTICLE, bad or own))
