@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +26,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this package where neither their folder nor PYTHONPATH has it."""
+    root = Path(__file__).resolve().parent.parent
+    seen = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    if any((p / "quarrybed").is_dir() for p in seen) or spark.conf.get("quarrybed.shipped", ""):
+        return
+    out = Path(tempfile.mkdtemp(prefix="quarrybed-ship-")) / "quarrybed.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted((root / "quarrybed").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(out))
+    spark.conf.set("quarrybed.shipped", "true")
