@@ -64,7 +64,7 @@ FUNCTION = (
     "decompiled boolean, instruction_count int, blocks int, edges int, loops int, returns int, indirect_jumps int, cyclomatic int, calls array<string>, "
     "scalars array<bigint>, interrupts array<bigint>, io_ports array<bigint>, strings array<string>, data_refs array<string>, mnemonics array<string>"
 )
-ENVELOPE = f"program string, language string, image_base string, decompiled_ok int, decompiled_failed int, functions array<struct<{FUNCTION.replace(' string', ':string').replace(' bigint', ':bigint').replace(' boolean', ':boolean').replace(' int', ':int').replace(' array', ':array')}>>"
+ENVELOPE = f"program string, language string, image_base string, decompiled_ok int, decompiled_failed int, functions array<struct<{FUNCTION}>>"
 
 
 def read_functions(spark: SparkSession, path: str, thunks: bool = False) -> DataFrame:

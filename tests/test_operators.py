@@ -114,7 +114,7 @@ def test_edge_cut_equals_nested_loop(spark):
 def test_votes_cuts_and_names(spark):
     v = spark.createDataFrame([("s", "b", 1), ("s", "a", 2), ("s", "a", 3), ("s", "b", 4), ("t", None, 5)], "s string, m string, o int")
     assert rows(S.majority_vote(v, "s", "m", "o"), "s") == [("s", "b", 2)]
-    sc = spark.createDataFrame([("k", p, s) for p, s in enumerate([9, 9, 1, 2, 9, 9, 0, 9, 9, 9])], "k string, pos bigint, score double")
+    sc = spark.createDataFrame([("k", p, float(s)) for p, s in enumerate([9, 9, 1, 2, 9, 9, 0, 9, 9, 9])], "k string, pos bigint, score double")
     assert rows(S.spaced_cuts(sc, "k", "pos", "score", 3), "pos") == [("k", 2), ("k", 6)]
     n = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "id int, n string")
     assert [r[2] for r in rows(E.suffixed(n, "n", "id"), "id")] == ["x", "y", "x_2"]
