@@ -224,9 +224,9 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
         bucket = (mixed(k) % np.uint64(buckets)).astype(np.int64)[owner]
         order = np.lexsort((owner, bucket))
         owner, place, df, bucket = owner[order], place[order], df[order], bucket[order]
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
         out = []
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, index = np.unique(owner[a:b], return_inverse=True)
             out.append((int(bucket[a]), frag, pack_arrays(deltas(k[own]), size[own], index, place[a:b], df[a:b])))
         cols = list(zip(*out, strict=True)) or [[], [], []]
@@ -235,7 +235,7 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("frag").applyInArrow(count, "bucket int, frag int, block binary")
 
 
-CLASS_FIELDS = "k bigint, size bigint, central double, seg int, codes binary"
+CLASS_FIELDS = "k bigint, size bigint, own bigint, seg int, codes binary"
 
 
 def _survivors(shared: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -266,23 +266,23 @@ def _survivors(shared: DataFrame, t: tuple[int, int]) -> DataFrame:
         out: list[tuple] = []
         for i in np.flatnonzero(own < prefix).tolist():
             mine = code[ends[i] - have[i] : ends[i]]
-            central = -own[i] / size[i]
             kk = int(k[i : i + 1].view(np.int64)[0])
-            out.append((kk, int(size[i]), central, -1, mine[: prefix[i] - own[i]].tobytes()))
+            out.append((kk, int(size[i]), int(own[i]), -1, mine[: prefix[i] - own[i]].tobytes()))
             seg = ((mine >> np.uint64(26)) & np.uint64((1 << 22) - 1)) % np.uint64(SEGMENTS)
             for g in range(SEGMENTS):
                 part = mine[seg == g]
                 if len(part):
-                    out.append((kk, int(size[i]), central, g, pack_arrays(deltas(part))))
+                    out.append((kk, int(size[i]), int(own[i]), g, pack_arrays(deltas(part))))
         cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.binary())
-        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("k", "size", "central", "seg", "codes"), cols, kinds, strict=True)})
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("k", "size", "own", "seg", "codes"), cols, kinds, strict=True)})
 
     return shared.groupBy("bucket").applyInArrow(gather, CLASS_FIELDS)
 
 
 def _prefix_rows(classes: DataFrame) -> DataFrame:
-    """shingle, k, size, central: the lists of the prefix shingles."""
+    """shingle, k, size, own, pos: the lists of the prefix shingles. Own shingles come first in the order, so the place of
+    the i-th shared one is own + i."""
 
     def run(batches):
         for batch in batches:
@@ -291,17 +291,21 @@ def _prefix_rows(classes: DataFrame) -> DataFrame:
                 continue
             n = [len(c) for c in codes]
             rows = np.repeat(np.arange(len(n)), n)
+            pos = np.concatenate([np.arange(x) for x in n]) + batch.column(2).to_numpy()[rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(codes)), *(batch.column(i).take(pa.array(rows)) for i in range(3))], names=["shingle", "k", "size", "central"]
+                [pa.array(np.concatenate(codes)), *(batch.column(i).take(pa.array(rows)) for i in range(3)), pa.array(pos)],
+                names=["shingle", "k", "size", "own", "pos"],
             )
 
-    rows = classes.where(F.col("seg") == -1).select("k", "size", "central", "codes")
-    return rows.mapInArrow(run, "shingle bigint, k bigint, size bigint, central double")
+    rows = classes.where(F.col("seg") == -1).select("k", "size", "own", "codes")
+    return rows.mapInArrow(run, "shingle bigint, k bigint, size bigint, own bigint, pos bigint")
 
 
-def _fits(a: str, b: str, t: tuple[int, int]):
-    """The sizes allow the similarity."""
-    return (F.least(a, b) * t[1] >= F.greatest(a, b) * t[0]) & (F.col("a") != F.col("b"))
+def _fits(t: tuple[int, int]):
+    """The pair can reach the similarity, if this shingle is the first it shares: all it shares lies from here on in both
+    orders. At a later shingle the bound is lower and may refuse the pair, which then came up at the first one."""
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    return (most * (t[0] + t[1]) >= (F.col("sa") + F.col("sb")) * t[0]) & (F.col("a") != F.col("b"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -313,10 +317,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _star_pairs(lists: DataFrame, t: tuple[int, int], by) -> DataFrame:
     """Each list's class of largest `by` with every other of the list."""
-    centre = lists.groupBy("shingle").agg(F.max(F.struct(by.alias("o"), F.col("k"), F.col("size"))).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centre = centre.select(F.col("shingle").alias("_s"), F.col("c.k").alias("b"), F.col("c.size").alias("sb"))
-    rows = lists.select("shingle", F.col("k").alias("a"), F.col("size").alias("sa"))
-    return _pairs(rows.join(centre, F.col("shingle") == F.col("_s")).where(_fits("sa", "sb", t)))
+    centre = lists.groupBy("shingle").agg(F.max(F.struct(by.alias("o"), F.col("k"), F.col("size"), F.col("pos"))).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centre = centre.select(F.col("shingle").alias("_s"), F.col("c.k").alias("b"), F.col("c.size").alias("sb"), F.col("c.pos").alias("pb"))
+    rows = lists.select("shingle", F.col("k").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
+    return _pairs(rows.join(centre, (F.col("shingle") == F.col("_s")) & _fits(t)))
 
 
 def _cross_pairs(lists: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -324,9 +328,9 @@ def _cross_pairs(lists: DataFrame, t: tuple[int, int]) -> DataFrame:
     counts = lists.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("shingle").agg(F.max(F.struct("n", "label"))["label"].alias("_major")).withColumnRenamed("shingle", "_s")
     marked = lists.join(major, F.col("shingle") == F.col("_s"))
-    minor = marked.where(F.col("label") != F.col("_major")).select("shingle", F.col("k").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
-    every = lists.select(F.col("shingle").alias("_s"), F.col("k").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
-    return _pairs(minor.join(every, (F.col("shingle") == F.col("_s")) & (F.col("la") != F.col("lb")) & _fits("sa", "sb", t)))
+    minor = marked.where(F.col("label") != F.col("_major")).select("shingle", F.col("k").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    every = lists.select(F.col("shingle").alias("_s"), F.col("k").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    return _pairs(minor.join(every, (F.col("shingle") == F.col("_s")) & (F.col("la") != F.col("lb")) & _fits(t)))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -371,15 +375,6 @@ def components(links: DataFrame) -> DataFrame:
         state = nxt.select("k", "label")
 
 
-def _one_hop(lists_k: DataFrame, links: DataFrame) -> DataFrame:
-    """k, label: classes with equal labels are in one component (not the other way round)."""
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    degree = both.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    hub = both.join(degree.select(F.col("x").alias("y"), "n"), "y").groupBy("x").agg(F.max(F.struct("n", "y")).alias("h"))
-    to = hub.join(degree, "x").select(F.col("x").alias("k"), F.when(F.struct("n", F.col("x").alias("y")) > F.col("h"), F.col("x")).otherwise(F.col("h.y")).alias("label"))
-    return lists_k.join(to, "k", "left").withColumn("label", F.coalesce("label", "k"))
-
-
 def near_duplicate_links(docs: DataFrame, n: int, t: tuple[int, int], seed: int, shingles: int, *, text: str = "text", fragment_shingles: int = FRAGMENT_SHINGLES, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between classes, enough to connect every component."""
     num, den = t
@@ -391,9 +386,9 @@ def near_duplicate_links(docs: DataFrame, n: int, t: tuple[int, int], seed: int,
     dealt = _dealt(docs, n, seed, fragments, least, text).repartition(min(fragments, 20_000), "frag")
     classes = persist_shared(_survivors(_shared(dealt, fragments), t), "survivors")
     lists = persist_shared(_prefix_rows(classes), "lists")
-    links = persist_shared(_verified(persist_shared(_star_pairs(lists, t, F.col("central")), "pairs"), classes, t), "links")
+    links = persist_shared(_verified(persist_shared(_star_pairs(lists, t, -F.col("own") / F.col("size")), "pairs"), classes, t), "links")
     for r in range(rounds):
-        labelled = _one_hop(lists, links)
+        labelled = lists.join(components(links), "k", "left").withColumn("label", F.coalesce("label", "k"))
         mixed_lists = labelled.groupBy("shingle").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select(F.col("shingle").alias("_s"))
         lists = persist_shared(labelled.join(mixed_lists, F.col("shingle") == F.col("_s")).drop("_s"), "lists")
         last = r == rounds - 1
