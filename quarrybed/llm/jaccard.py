@@ -35,9 +35,9 @@ from .common import map_texts, persist_shared, restored, sheltered, texts_of
 
 #: ASCII letters are lower-cased; ASCII white space separates words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CACHE = 400_000
-BLOCK_SHINGLES = 3_000_000
-FRAGMENT_SHINGLES = 4_000_000
+CACHE = 300_000
+BLOCK_SHINGLES = 2_000_000
+FRAGMENT_SHINGLES = 3_000_000
 SEGMENTS = 4
 ROUNDS = 2
 BROADCAST_PAIRS = 250_000
