@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
+from ..operators import artifacts as A
 from ..operators import evidence as E
 from ..operators import features as T
 from ..operators import graph as G
@@ -522,3 +523,27 @@ def truth_first_wins(spark, d):
 @query("SELECT user_id, event_type, count(*) AS n_cases, bool_and(value > 0.5 AND value < 200) AS agrees FROM events GROUP BY user_id, event_type")
 def probe_battery(spark, d):
     return E.all_cases_agree(table(spark, d, "events"), ["user_id", "event_type"], (F.col("value") > 0.5) & (F.col("value") < 200))
+
+
+# ---------------------------------------------------------------- artifacts
+
+
+@query("""SELECT user_id, event_id, CAST(age AS INTEGER) AS age FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events) WHERE age < 8""")
+def last_k_history(spark, d):
+    return A.last_k(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 8).select("user_id", "event_id", "age")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name || '/' || p_size AS stem, p_brand FROM part), k AS (SELECT stem FROM n GROUP BY stem HAVING count(*) = 2)
+SELECT a.stem, a.p_brand AS a, b.p_brand AS b FROM n a JOIN n b ON a.stem = b.stem AND a.p_brand <> b.p_brand JOIN k ON k.stem = a.stem""")
+def sibling_pairs(spark, d):
+    stem = F.concat_ws("/", "p_name", F.col("p_size").cast("string"))
+    return A.sibling_pairs(table(spark, d, "part").withColumn("stem", stem), "stem", "p_brand")
+
+
+@query("""WITH f AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity < 25 GROUP BY ALL),
+e AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, l_linenumber, coalesce(f.n, 0) AS n_found, coalesce(e.n, 0) AS n_expected FROM f FULL JOIN e USING (l_returnflag, l_linestatus, l_linenumber)
+WHERE coalesce(f.n, 0) <> coalesce(e.n, 0)""")
+def multiset_compare(spark, d):
+    li = table(spark, d, "lineitem")
+    return A.multiset_compare(li.where("l_quantity < 25"), li.where("l_quantity >= 25"), ["l_returnflag", "l_linestatus", "l_linenumber"])
