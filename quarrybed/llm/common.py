@@ -100,6 +100,18 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return col.cast(kind).to_pylist()
 
 
+#: What one Arrow batch of texts may hold; the session's own limit is 64 MB and its copies add up in a worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session; a smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "67108864b")).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, column: str, schema: T.StructType, work: Callable, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow where `work(batch)` sees at most `limit` bytes of text at a time and returns a batch or None."""
 
@@ -109,4 +121,5 @@ def map_texts(df: DataFrame, column: str, schema: T.StructType, work: Callable,
             if out is not None:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

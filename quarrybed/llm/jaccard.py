@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, persist_shared, restored, sheltered, texts_of
+from .common import map_texts, persist_shared, restored, sheltered, small_batches, texts_of
 
 #: ASCII letters are lower-cased; ASCII white space separates words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CACHE = 300_000
-BLOCK_SHINGLES = 2_000_000
-FRAGMENT_SHINGLES = 3_000_000
+CACHE = 200_000
+BLOCK_SHINGLES = 1_500_000
+FRAGMENT_SHINGLES = 2_000_000
 SEGMENTS = 4
 ROUNDS = 2
 BROADCAST_PAIRS = 250_000
@@ -191,6 +191,7 @@ def _dealt(docs: DataFrame, n: int, seed: int, fragments: int, least: int, text:
             block = pack_arrays(deltas(k[own]), sizes[own], deltas(shingle[a:b]), index)
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([block], pa.binary())], names=["frag", "block"])
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, "frag int, block binary")
 
 

@@ -31,7 +31,7 @@ PLAIN = 0x24F
 #: How the vocabulary's pre-tokenizer cuts a chunk without white space, for plain characters.
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w]|_)+")
 ODD = re.compile(f"[^\x00-{chr(PLAIN)}]|[\x1c-\x1f\x85\xa0İ]")
-CACHE = 400_000
+CACHE = 300_000
 
 
 def byte_letters() -> dict[int, str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -101,6 +101,7 @@ def write_archives(rows: DataFrame, folder: str) -> list[tuple[str, int, int]]:
             fs.delete_file(tmp)
         yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [records]})
 
+    small_batches(rows.sparkSession)
     cols = rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
     return [(r.path, r.bytes, r.records) for r in cols.mapInArrow(work, "path string, bytes bigint, records bigint").collect() if r.records]
 
