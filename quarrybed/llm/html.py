@@ -1,6 +1,6 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Pages of a host come from a template. Every page is cut into tokens: structural tags by their container path, and text
+Pages of a host come from a template. Every distinct page of a host (copies count once) is cut into tokens: structural tags by their container path, and text
 blocks outside the article. Tokens of a host with the same occurrence vector over its pages (compared by two
 31-bit sums, so vectors are never gathered) form an equivalence class; classes with enough support, of two or
 more tokens, are valid, and nest by the container path of their tokens. Together they are the host's template: its
@@ -10,7 +10,7 @@ without one, all slots outside menus, forms and the like.
 A text inside <article> or <main> is content by its mark-up, so many equal articles on a host are not taken for
 a template.
 
-Edge cases: null and empty html give an empty text; null urls share one host; hosts with fewer than three pages have no
+Edge cases: null and empty html give an empty text; null urls share one host; hosts with fewer than three distinct pages have no
 template, only mark-up decides; unclosed tags end with their container; repeated rows are extracted each; an empty
 table gives an empty result; an input column named text is replaced.
 """
@@ -57,11 +57,11 @@ CLOSES_P = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote address hr
 
 
 class Page:
-    """Text blocks of a page: (container path, text, in an article, unwanted), and counts of its structural tokens."""
+    """Text blocks of a page: (container path, text, in an article, unwanted), and its tokens in page order."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.tags: dict[str, int] = {"": 1}
+        self.order: list[tuple[str, str | None]] = [("", None)]  # container path, text of a block outside the article
         self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, in article, unwanted
         self._held: list[str] = []
         self._read(html)
@@ -75,6 +75,8 @@ class Page:
         if text:
             _, path, article, bad = self._top()
             self.blocks.append((path, text, article, bad))
+            if not article:
+                self.order.append((path, text))
 
     def _open(self, name: str, attrs: str) -> None:
         _, path, article, bad = self._top()
@@ -88,7 +90,7 @@ class Page:
         if label and name not in ("html", "body"):
             own = own or bool(UNWANTED.search(label)) or (not article and bool(PAGE_HEAD.search(label)))
         path = f"{path}/{name}.{label}" if label else f"{path}/{name}"
-        self.tags[path] = self.tags.get(path, 0) + 1
+        self.order.append((path, None))
         self._stack.append((name, path, article or name in ARTICLE, bad or own))
 
     def _close(self, name: str) -> None:
@@ -132,43 +134,62 @@ def token(path: str, text: str | None = None) -> int:
     return int.from_bytes(hashlib.blake2b(raw.encode(errors="replace"), digest_size=8).digest(), "little") >> 1
 
 
-def page_tokens(page: Page) -> dict[int, int]:
-    out = {token(p): c for p, c in page.tags.items()}
-    for path, text, article, _ in page.blocks:
-        if not article:
-            t = token(path, text)
-            out[t] = out.get(t, 0) + 1
-    return out
-
-
-ROOT = token("")
+def page_tokens(page: Page) -> list[int]:
+    return [token(*x) for x in page.order]
 
 
 def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def deduce_templates(pages: DataFrame, *, url: str = "url", html: str = "html", support: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
-    """host, template: the tokens of the valid equivalence classes of each host."""
-    rows = pages.select(host_of(url).alias("host"), F.xxhash64(F.col(url), F.col(html)).alias("page"), F.col(html).alias("html"))
+def distinct_contents(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """host, page and tokens (in page order) of each distinct html of a host: copies count once, whatever their number."""
+    rows = pages.select(host_of(url).alias("host"), F.xxhash64(F.coalesce(F.col(html), F.lit(""))).alias("page"), F.col(html).alias("html"))
+    schema = T._parse_datatype_string("host string, page bigint, tokens binary")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new: dict[tuple, bytes] = {}
+        for host, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch, "html"), strict=True):
+            if (host, key) not in new:
+                new[host, key] = np.array(page_tokens(Page(raw.decode() if raw else "")), dtype="<i8").tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in new], pa.string()), pa.array([k for _, k in new], pa.int64()), pa.array(list(new.values()), pa.binary())], names=schema.names
+        )
+
+    found = map_texts(rows, "html", schema, work).groupBy("host", "page").agg(F.first("tokens").alias("tokens"))
+    return persist_shared(found, "contents")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers, mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def occurrence_vectors(contents: DataFrame) -> DataFrame:
+    """host, token, a and b (the sums of its vector) and pages."""
     schema = T._parse_datatype_string("host string, token bigint, a bigint, b bigint, n bigint")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys, toks, a, b, n = [], batch.column(1).to_pylist(), [], [], [], []
-        for host, key, raw in zip(batch.column(0).to_pylist(), keys, texts_of(batch, "html"), strict=True):
-            for t, c in page_tokens(Page(raw.decode() if raw else "")).items():
-                h = int.from_bytes(hashlib.blake2b(f"{key}:{c}".encode(), digest_size=8).digest(), "little")
-                hosts.append(host)
-                toks.append(t)
-                a.append(h & 0x7FFFFFFF)
-                b.append(h >> 33)
-                n.append(1)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.array(x, dtype=np.int64)) for x in (toks, a, b, n))], names=schema.names)
-
-    vectors = map_texts(rows, "html", schema, work).groupBy("host", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("pages"))
-    vectors = persist_shared(vectors, "occurrence")
-    hosts = vectors.where(F.col("token") == ROOT).select(F.col("host").alias("_host"), F.col("pages").alias("_pages"))
-    frequent = vectors.join(hosts, F.col("host") == F.col("_host")).where((F.col("pages") >= least_pages) & (F.col("pages") >= support * F.col("_pages")))
+        parts = [np.unique(np.frombuffer(raw, dtype="<i8"), return_counts=True) for raw in texts_of(batch, "tokens")]
+        sizes = np.array([len(t) for t, _ in parts])
+        key = np.repeat(mixed(batch.column(1).to_numpy().view(np.uint64)), sizes)
+        h = mixed(key + np.concatenate([c for _, c in parts]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        hosts = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        cols = (np.concatenate([t for t, _ in parts]), (h & np.uint64(0x7FFFFFFF)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64), np.ones(len(h), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([hosts, *map(pa.array, cols)], names=schema.names)
+
+    found = map_texts(contents, "tokens", schema, work, 1 << 20)
+    return found.groupBy("host", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("pages"))
+
+
+def deduce_templates(pages: DataFrame, *, url: str = "url", html: str = "html", support: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
+    """host, template: the tokens of the valid equivalence classes of each host, over its distinct contents."""
+    contents = distinct_contents(pages, url=url, html=html)
+    vectors = occurrence_vectors(contents).where(F.col("pages") >= least_pages)
+    hosts = contents.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
+    frequent = vectors.join(hosts, F.col("host") == F.col("_host")).where(F.col("pages") >= support * F.col("_pages"))
     # a host has few frequent tokens: at most 1/support times the tokens of its mean page
     classes = frequent.groupBy("host", "a", "b", "pages").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= least_tokens)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))

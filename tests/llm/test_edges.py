@@ -209,6 +209,15 @@ def test_html(spark):
     assert html.extract(pages).count() == len(rows)
 
 
+def test_html_of_copies(spark):
+    page = "<html><body><div>Menu</div><div><p>{0} one<p>{0} two</div><div>Bye</div></body></html>"
+    for copies in (3, 40):
+        rows = [(i, f"http://h/{i}", page.format("Copy")) for i in range(copies)] + [(100 + i, f"http://h/{100 + i}", page.format(f"Own {i}")) for i in range(2)]
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+        assert len(got) == len(rows) and all(got[i] == "Copy one Copy two" for i in range(copies))
+        assert got[100] == "Own 0 one Own 0 two"
+
+
 def test_jaccard(spark, docs, clashing):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, n=4, t=(85, 100)).collect()}
     assert got == {(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 13, 4), (5, 13, 4), (None, 13, 4), (6, 1, 6), (7, 3, 7), (8, 1, 8)}
