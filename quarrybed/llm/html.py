@@ -1,14 +1,18 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Pages of a host come from a template. Every distinct page of a host (copies count once) is cut into tokens: structural tags by their container path, and text
-blocks outside the article. Tokens of a host with the same occurrence vector over its pages (compared by two
-31-bit sums, so vectors are never gathered) form an equivalence class; classes with enough support, of two or
-more tokens, are valid, and nest by the container path of their tokens. Together they are the host's template: its
-texts are boilerplate, what lies between them are slots. Extraction keeps the slots of the article, or, in a page
-without one, all slots outside menus, forms and the like.
-
-A text inside <article> or <main> is content by its mark-up, so many equal articles on a host are not taken for
-a template.
+Pages of a host come from a template. Every distinct page of a host (copies count once) is cut into tokens: structural
+tags by their container path, and text blocks at their place, inside the article as well. Tokens of a host with the same
+occurrence vector over its pages (compared by two 31-bit sums, so vectors are never gathered) form an equivalence class.
+A class with enough support, of two or more tokens, is valid if it is ordered and nested. Ordered: its tokens come in
+the order of one reference page; a token out of place on more than `slack` of the pages leaves the class. Nested: two
+classes don't cross, which is to say that one lies before, behind or within a gap of the other; of two that cross on more
+than `slack` of the pages the one with less support is dropped. Both are decided on the first occurrences of the tokens
+in a page; the gap may differ between pages. The valid classes are the host's template: its texts are boilerplate, what
+lies between them are slots. Extraction keeps the slots of the article, or, in a page without one, all slots outside
+menus, forms and the like.
+
+Mark-up supports the template: where it would take more than half of an article's text, the page is one of many near
+copies rather than a template filled in, and the article stays whole.
 
 Edge cases: null and empty html give an empty text; null urls share one host; hosts with fewer than three distinct pages have no
 template, only mark-up decides; unclosed tags end with their container; repeated rows are extracted each; an empty
@@ -19,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -61,7 +67,7 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.order: list[tuple[str, str | None]] = [("", None)]  # container path, text of a block outside the article
+        self.order: list[tuple[str, str | None]] = [("", None)]  # container path, text of a block
         self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, in article, unwanted
         self._held: list[str] = []
         self._read(html)
@@ -75,8 +81,7 @@ class Page:
         if text:
             _, path, article, bad = self._top()
             self.blocks.append((path, text, article, bad))
-            if not article:
-                self.order.append((path, text))
+            self.order.append((path, text))
 
     def _open(self, name: str, attrs: str) -> None:
         _, path, article, bad = self._top()
@@ -168,36 +173,136 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def occurrence_vectors(contents: DataFrame) -> DataFrame:
-    """host, token, a and b (the sums of its vector) and pages."""
-    schema = T._parse_datatype_string("host string, token bigint, a bigint, b bigint, n bigint")
+    """host, token, a and b (the sums of its vector), pages, and at: the place in the reference page of the vector."""
+    schema = T._parse_datatype_string("host string, token bigint, a bigint, b bigint, n bigint, at bigint")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [np.unique(np.frombuffer(raw, dtype="<i8"), return_counts=True) for raw in texts_of(batch, "tokens")]
-        sizes = np.array([len(t) for t, _ in parts])
+        parts = [np.unique(np.frombuffer(raw, dtype="<i8"), return_index=True, return_counts=True) for raw in texts_of(batch, "tokens")]
+        sizes = np.array([len(x[0]) for x in parts])
+        tokens, place, count = (np.concatenate([x[i] for x in parts]) for i in range(3))
         key = np.repeat(mixed(batch.column(1).to_numpy().view(np.uint64)), sizes)
-        h = mixed(key + np.concatenate([c for _, c in parts]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h = mixed(key + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        # tokens of one vector lie on the same pages, so the least key is that of the same page for all of them
+        at = (key >> np.uint64(25) << np.uint64(24)).astype(np.int64) | np.minimum(place, (1 << 24) - 1)
         hosts = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        cols = (np.concatenate([t for t, _ in parts]), (h & np.uint64(0x7FFFFFFF)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64), np.ones(len(h), dtype=np.int64))
+        cols = (tokens, (h & np.uint64(0x7FFFFFFF)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64), np.ones(len(h), dtype=np.int64), at)
         return pa.RecordBatch.from_arrays([hosts, *map(pa.array, cols)], names=schema.names)
 
     found = map_texts(contents, "tokens", schema, work, 1 << 20)
-    return found.groupBy("host", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("pages"))
-
-
-def deduce_templates(pages: DataFrame, *, url: str = "url", html: str = "html", support: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
+    return found.groupBy("host", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("pages"), F.min("at").alias("at"))
+
+
+def out_of_order(ranks: list[int]) -> list[int]:
+    """The places outside a longest increasing run of different ranks."""
+    ends: list[int] = []  # the rank that ends the best run of each length
+    at: list[int] = []  # its place
+    before: list[int] = []
+    for i, r in enumerate(ranks):
+        k = bisect_left(ends, r)
+        before.append(at[k - 1] if k else -1)
+        ends[k : k + 1] = [r]
+        at[k : k + 1] = [i]
+    kept, i = set(), at[-1] if at else -1
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return [i for i in range(len(ranks)) if i not in kept]
+
+
+def class_faults(tokens: list[int], member: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """What speaks against a host's classes on one page: (token, token) for a token out of order, (class, class) for two
+    that cross. member: the class, named by its first token, and the rank of each token."""
+    seen = [(t, *member[t]) for t in dict.fromkeys(tokens) if t in member]
+    by: dict[int, list[tuple[int, int]]] = {}
+    for t, c, rank in seen:
+        by.setdefault(c, []).append((t, rank))
+    moved = set()
+    for own in by.values():
+        if any(x[1] > y[1] for x, y in zip(own, own[1:], strict=False)):
+            moved.update(own[i][0] for i in out_of_order([rank for _, rank in own]))
+    order = [c for t, c, _ in seen if t not in moved]
+    last = {c: i for i, c in enumerate(order)}
+    crossed, open_ = set(), []
+    for i, c in enumerate(order):
+        open_ = [x for x in open_ if last[x] >= i]
+        if c not in open_:
+            open_.append(c)
+        elif open_[-1] != c:
+            crossed.update((min(c, x), max(c, x)) for x in open_[open_.index(c) + 1 :])
+    return [(t, t) for t in moved] + sorted(crossed)
+
+
+def valid_tokens(classes: list[tuple[int, list[int]]], faults: dict[tuple[int, int], int], least_tokens: int, slack: float) -> list[int]:
+    """The tokens of the ordered and nested ones of a host's classes (pages, tokens in order)."""
+    crossings: dict[int, list[tuple[int, int]]] = {}
+    for (x, y), n in faults.items():
+        if x != y:
+            crossings.setdefault(x, []).append((y, n))
+            crossings.setdefault(y, []).append((x, n))
+    out: list[int] = []
+    taken: dict[int, int] = {}
+    for pages, tokens in sorted(classes, key=lambda c: (-c[0], -len(c[1]), c[1][0])):
+        own = [t for t in tokens if faults.get((t, t), 0) <= slack * pages]
+        if len(own) >= least_tokens and not any(n > slack * min(pages, taken[y]) for y, n in crossings.get(tokens[0], ()) if y in taken):
+            taken[tokens[0]] = pages
+            out += own
+    return out
+
+
+def beside_host(rows: DataFrame, host, known: DataFrame, size: int) -> DataFrame:
+    """rows with the columns of `known` for their host: by broadcast where these have at most BROADCAST_TOKENS
+    tokens, else by a join on the host that can be split where one host is large."""
+    side = F.broadcast(known) if size <= BROADCAST_TOKENS else known
+    return rows.join(side, host == F.col("_host"), "left").drop("_host")
+
+
+def deduce_templates(pages: DataFrame, *, url: str = "url", html: str = "html", support: float = 0.5, least_pages: int = 3, least_tokens: int = 2, slack: float = 0.1) -> DataFrame:
     """host, template: the tokens of the valid equivalence classes of each host, over its distinct contents."""
     contents = distinct_contents(pages, url=url, html=html)
     vectors = occurrence_vectors(contents).where(F.col("pages") >= least_pages)
     hosts = contents.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
     frequent = vectors.join(hosts, F.col("host") == F.col("_host")).where(F.col("pages") >= support * F.col("_pages"))
     # a host has few frequent tokens: at most 1/support times the tokens of its mean page
-    classes = frequent.groupBy("host", "a", "b", "pages").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= least_tokens)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    member = F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens")
+    classes = frequent.groupBy("host", "a", "b", "pages").agg(member).where(F.size("tokens") >= least_tokens)
+    classes = persist_shared(classes.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes")), "classes")
+    size = classes.agg(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c["tokens"])))).first()[0] or 0
+    joined = beside_host(contents.select("host", "tokens"), F.col("host"), classes.select(F.col("host").alias("_host"), F.col("classes").alias("_classes")), size)
+    schema = T._parse_datatype_string("host string, x bigint, y bigint, n bigint")
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        members: dict[str, dict[int, tuple[int, int]]] = {}
+        found: Counter = Counter()
+        for i, (host, raw) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch, "tokens"), strict=True)):
+            if host not in members:
+                held = batch.column(2)[i].as_py() or ()
+                members[host] = {t: (c["tokens"][0], rank) for c in held for rank, t in enumerate(c["tokens"])}
+            if members[host]:
+                found.update((host, *f) for f in class_faults(np.frombuffer(raw, dtype="<i8").tolist(), members[host]))
+        rows = [(*k, n) for k, n in found.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string() if j == 0 else pa.int64()) for j in range(4)], names=schema.names)
+
+    faults = map_texts(joined, "tokens", schema, check, 1 << 20).groupBy("host", "x", "y").agg(F.sum("n").alias("n"))
+    faults = faults.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("x", "y", "n")).alias("faults"))
+
+    def resolve(batches):
+        for batch in batches:
+            templates = []
+            for held, against in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                known = {(f["x"], f["y"]): f["n"] for f in against or ()}
+                templates.append(valid_tokens([(c["pages"], c["tokens"]) for c in held], known, least_tokens, slack))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(templates, pa.list_(pa.int64()))], names=["host", "template"])
+
+    both = classes.join(faults, F.col("host") == F.col("_host"), "left").select("host", "classes", "faults")
+    return both.mapInArrow(resolve, "host string, template array<bigint>")
 
 
 def main_text(page: Page, template: set[int]) -> str:
     """The slots of the article, or of the whole body where no article holds text."""
-    kept = [text for _, text, article, bad in page.blocks if article and not bad]
+    marked = [(path, text) for path, text, article, bad in page.blocks if article and not bad]
+    kept = [text for path, text in marked if token(path, text) not in template] if template else [text for _, text in marked]
+    if 2 * sum(map(len, kept)) < sum(len(text) for _, text in marked):
+        kept = [text for _, text in marked]
     if not kept:
         kept = [text for path, text, _, bad in page.blocks if not bad and token(path, text) not in template]
     return " ".join(kept)
@@ -207,13 +312,11 @@ BROADCAST_TOKENS = 1 << 20
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", **options) -> DataFrame:
-    """pages with text, the main text. Templates go to the tasks by broadcast where they have at most
-    BROADCAST_TOKENS tokens, else by a join on the host that can be split where one host is large."""
+    """pages with text, the main text."""
     pages = without(pages, "text", "_host", "_template")
     templates = persist_shared(deduce_templates(pages, url=url, html=html, **options), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
     size = templates.agg(F.sum(F.size("_template"))).first()[0] or 0
-    side = F.broadcast(templates) if size <= BROADCAST_TOKENS else templates
-    joined = pages.join(side, host_of(url) == F.col("_host"), "left").drop("_host")
+    joined = beside_host(pages, host_of(url), templates, size)
     schema, width = extended(pages.schema, ("text", "string")), len(pages.columns)
     names = schema.names
 

@@ -218,6 +218,32 @@ def test_html_of_copies(spark):
         assert got[100] == "Own 0 one Own 0 two"
 
 
+def test_html_template_inside_articles(spark):
+    page = "<html><body><article><h1>Title {0}</h1><p>Subscribers read more<p>Long own text of page {0}<div class=zz>Terms</div></article></body></html>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(6)]
+    near = "<html><body><article><h1>One</h1><p>A long text that many pages share<p>And some more of it<p>{0}</article></body></html>"
+    rows += [(10 + i, f"http://near/{i}", near.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[2] == "Title 2 Long own text of page 2"
+    assert got[13] == "One A long text that many pages share And some more of it 3"
+
+
+def test_html_classes_are_ordered_and_nested(spark):
+    member = {1: (1, 0), 2: (1, 1), 3: (1, 2), 7: (7, 0), 8: (7, 1)}
+    assert html.class_faults([1, 9, 2, 7, 8, 2, 3], member) == html.class_faults([1, 2, 3, 7, 8], member) == html.class_faults([7, 1, 2, 3, 8], member) == []
+    assert html.class_faults([1, 7, 2, 8, 3], member) == [(1, 7)] == html.class_faults([7, 1, 8, 2], member)
+    assert html.class_faults([2, 3, 1], member) == [(1, 1)]
+    classes = [(5, [7, 8]), (9, [1, 2, 3])]
+    assert html.valid_tokens(classes, {(3, 3): 4}, 2, 0.1) == [1, 2, 7, 8]
+    assert html.valid_tokens(classes, {(1, 7): 1}, 2, 0.1) == [1, 2, 3]
+    page = "<html><body><div>Menu</div><div>{0}</div><div>{1}</div><div>Bye</div></body></html>"
+    rows = [(i, f"http://h/{i}", page.format(*(("Left", f"Own {i}") if i % 2 else (f"Own {i}", "Left")))) for i in range(6)]
+    rows += [(10 + i, f"http://moved/{i}", (page if i % 2 else page.replace("<div>Bye</div>", "").replace("<div>Menu", "<div>Bye</div><div>Menu")).format("Fixed", f"Own {i}")) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == "Own 0" and got[1] == "Own 1"
+    assert {got[10], got[11]} == {"Bye Own 0", "Own 1 Bye"}
+
+
 def test_jaccard(spark, docs, clashing):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, n=4, t=(85, 100)).collect()}
     assert got == {(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 13, 4), (5, 13, 4), (None, 13, 4), (6, 1, 6), (7, 3, 7), (8, 1, 8)}
