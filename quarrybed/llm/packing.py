@@ -46,14 +46,17 @@ def byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """The word tokenizer of a tokenizers file, with bounded caches of chunks and words.
 
-    Words of plain characters go straight to the merges; a text with others goes through the whole tokenizer.
+    Words of plain characters go straight to the merges; a text with others, or with the content of an added token,
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder().values()
+        names = [r"\s+".join(map(re.escape, t.content.split())) for t in added if t.content.strip()]
+        self.added = re.compile("|".join(names), re.I if any(t.normalized for t in added) else 0) if names else None
         self.model = self.whole.model
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
@@ -81,7 +84,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if ODD.search(text):
+        if ODD.search(text) or (self.added and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get, make = self.chunks.get, self._chunk
         return b"".join([got if (got := get(c)) is not None else make(c) for c in text.split()])

@@ -152,6 +152,17 @@ def test_word_tokenizer_equals_the_whole(text):
     assert tok.encode(text) == want
 
 
+def test_added_tokens_are_found(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_file())
+    tok = packing.WordTokenizer(tokenizer_file())
+    for text in ("a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|> <| endoftext |>", "日<|endoftext|>", "plain"):
+        want = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert tok.encode(text) == want
+    assert np.frombuffer(tok.encode("a <|endoftext|> b"), dtype="<u4").tolist() == [320, 49407, 321]
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
