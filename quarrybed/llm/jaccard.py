@@ -400,25 +400,53 @@ def near_duplicate_links(docs: DataFrame, n: int, t: tuple[int, int], seed: int,
     return links
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, t: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+def components_of(docs: DataFrame, *, n: int = 5, t: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, k (class) and n_shingles of every row; k, label and component_id of every class; the seed of the keys."""
     table, seed = class_table(docs, n, doc_id=doc_id, text=text)
-    full = table.where("n_shingles > 0")
-    classes = full.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    classes = table.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     links = near_duplicate_links(docs, n, t, seed, shingles, text=text, **options)
     label = components(links)
     named = classes.join(label, "k", "left").select("k", "first", F.coalesce("label", "k").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = persist_shared(named.join(smallest, "label").select("k", "component_id"), "components")
-    linked = full.join(by_class, "k").select("doc_id", "n_shingles", "component_id")
+    return table, persist_shared(named.join(smallest, "label").select("k", "label", "component_id"), "components"), seed
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    table, by_class, _ = components_of(docs, **options)
+    linked = table.where("n_shingles > 0").join(by_class.drop("label"), "k").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id stays (all rows of an empty
-    set do), columns unchanged."""
-    found = near_duplicates(docs, doc_id=doc_id, **options)
-    keep = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    rows = sheltered(docs, doc_id=doc_id)
-    return restored(rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi"))
+def keep_first(docs: DataFrame, *, n: int = 5, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without near duplicates: of each component one row with the smallest doc_id stays (all rows of an empty
+    set do), columns unchanged.
+
+    A doc_id of one row names its row. Rows that share their doc_id, or have none, are told apart by their class, and of
+    equal ones any one stays.
+    """
+    table, by_class, seed = components_of(docs, n=n, doc_id=doc_id, text=text, **options)
+    least = table.where("n_shingles > 0").join(by_class, "k").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = persist_shared(least.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("f")).select("f.doc_id", "f.k"), "first")
+    keep = first.select("doc_id").unionByName(table.where("n_shingles = 0").select("doc_id")).where(F.col("doc_id").isNotNull())
+    keep = keep.select(F.col("doc_id").alias("_keep")).distinct()
+    rows = sheltered(docs, doc_id=doc_id, text=text)
+    shared = persist_shared(table.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_shared")), "shared_ids")
+    if not shared.limit(1).count():
+        return restored(rows.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi"))
+    alone = rows.join(keep.join(shared, F.col("_keep") == F.col("_shared"), "left_anti"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    among = rows.where(F.col("doc_id").isNotNull()).join(shared, F.col("doc_id") == F.col("_shared"), "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
+    schema = T.StructType([*among.schema.fields[:2], *T._parse_datatype_string("k bigint, n_shingles bigint").fields])
+
+    def work(batch):
+        sets = [shingle_set(x, n) for x in texts_of(batch, "text")]
+        cols = [pa.array([set_keys(s, seed)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=schema.names)
+
+    classed = map_texts(among, "text", schema, work)
+    f = first.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"))
+    one = classed.where("n_shingles > 0").groupBy("doc_id", "k").agg(F.first("_row").alias("_row"))
+    one = one.join(f, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    empty = classed.where("n_shingles = 0")
+    return restored(alone.select("_row").unionByName(one.select("_row")).unionByName(empty.select("_row")))

@@ -264,6 +264,17 @@ def test_jaccard(spark, docs, clashing):
     assert jaccard.keep_first(docs.limit(0)).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    a, b, c = "one two three four five six", "other words are here in this text", "nothing like the rest of them all"
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, c), (3, c), (1, "quite another document with the same id"), (4, c), (5, ""), (5, ""), (2, "a text of its own under a taken id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(1, a), (None, b), (3, c), (1, rows[8][1]), (5, ""), (5, ""), (2, rows[12][1]), (None, None)]
+    got = [tuple(r) for r in jaccard.keep_first(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    alone = [(1, a), (2, a), (3, b)]
+    assert sorted(map(tuple, jaccard.keep_first(spark.createDataFrame(alone, "doc_id bigint, text string")).collect())) == [(1, a), (3, b)]
+
+
 def test_jaccard_of_chains_and_mixed_lists(spark):
     from test_queries import brute_components
 
