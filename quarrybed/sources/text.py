@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import ast
-import operator
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import undecorate
+from .asmsource import Inventory
 from .binary import parsed
+from .csource import Unit, macros_of, resolved_macros
 
 # ---------------------------------------------------------------- linker maps
 
@@ -77,181 +75,65 @@ def call_edges(functions: DataFrame) -> DataFrame:
     return functions.select(F.col("name").alias("src"), F.explode("calls").alias("dst")).distinct()
 
 
-# ---------------------------------------------------------------- C sources
-
-#: Words that look like calls or definitions and are not, and the line forms of old C.
-NOT_FUNCTIONS = frozenset("if while for switch return sizeof do else typedef struct union enum case default goto printf define include ifdef ifndef endif".split())
-HEAD = re.compile(r"^((?:[A-Za-z_][\w \t*]*[ \t*])?)([A-Za-z_]\w*)[ \t]*\(([^;{}]*?)\)[ \t]*$")
-DEFINE = re.compile(r"^#[ \t]*define[ \t]+([A-Za-z_]\w*)(\([^)]*\))?[ \t]+(.+?)[ \t]*$")
-CALL = re.compile(r"\b([A-Za-z_]\w*)[ \t]*\(")
-STRING = re.compile(r'"((?:[^"\\]|\\.)*)"')
-NUMBER = re.compile(r"\b(0[xX][0-9a-fA-F]+|\d+)\b")
-CONSTANT = re.compile(r"\b([A-Z][A-Z0-9_]{2,})\b")
-COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-SHAPE = {
-    "ifs": r"\bif\s*\(", "elses": r"\belse\b", "fors": r"\bfor\s*\(", "whiles": r"\bwhile\s*\(", "dos": r"\bdo\b", "switches": r"\bswitch\s*\(",
-    "cases": r"\bcase\b|\bdefault\s*:", "returns": r"\breturn\b", "gotos": r"\bgoto\b", "ands": r"&&", "ors": r"\|\|", "ternaries": r"\?",
-}
-
-
-def without_comments(text: str) -> str:
-    """Comments become the line breaks they hold, so line numbers stay."""
-    return COMMENT.sub(lambda m: "\n" * m[0].count("\n") or " ", text)
-
-
-_OPS = {
-    ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv, ast.Div: operator.truediv,
-    ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.BitAnd: operator.and_, ast.BitOr: operator.or_, ast.USub: operator.neg, ast.UAdd: operator.pos,
-}
-
-
-def constant_value(text: str, known: dict[str, int]) -> int | None:
-    """The integer an expression of literals and known names stands for; null for anything else."""
-
-    def value(node):
-        if isinstance(node, ast.Constant) and isinstance(node.value, int):
-            return node.value
-        if isinstance(node, ast.Name):
-            return known[node.id]
-        if isinstance(node, ast.BinOp) and not (isinstance(node.op, ast.LShift) and value(node.right) > 64):
-            return _OPS[type(node.op)](value(node.left), value(node.right))
-        if isinstance(node, ast.UnaryOp):
-            return _OPS[type(node.op)](value(node.operand))
-        raise ValueError
-
-    try:
-        out = value(ast.parse(text.split("/*")[0].strip().rstrip(";"), mode="eval").body)
-        return out if isinstance(out, int) else None
-    except (ValueError, KeyError, SyntaxError, ZeroDivisionError, TypeError, RecursionError):
-        return None
-
-
-def resolved_defines(raw: dict[str, str], passes: int = 4) -> dict[str, int]:
-    """Object-like macros with integer values; some refer to others, so a few passes."""
-    out: dict[str, int] = {}
-    for _ in range(passes):
-        new = {k: v for k, t in raw.items() if k not in out and (v := constant_value(t, out)) is not None}
-        if not new:
-            break
-        out |= new
-    return out
-
-
-def defines_of(text: str) -> list[tuple[str, str, bool, int]]:
-    return [(m[1], m[3].strip(), bool(m[2]), i + 1) for i, line in enumerate(without_comments(text).splitlines()) if (m := DEFINE.match(line.rstrip()))]
-
-
-def control_shape(body: str) -> dict[str, int]:
-    n = {k: len(re.findall(p, body)) for k, p in SHAPE.items()}
-    loops, depth, deepest = n["fors"] + n["whiles"] + n["dos"], 0, 0
-    for c in re.findall(r"[{}]", body):
-        depth += 1 if c == "{" else -1
-        deepest = max(deepest, depth)
-    cyclomatic = 1 + n["ifs"] + loops + n["cases"] + n["ands"] + n["ors"] + n["ternaries"]
-    keep = ("ifs", "elses", "switches", "cases", "returns", "gotos")
-    return {**{k: n[k] for k in keep}, "loops": loops, "cyclomatic": cyclomatic, "max_depth": deepest}
-
-
-def c_functions(text: str, defines: dict[str, int]) -> list[tuple]:
-    lines, out = without_comments(text).splitlines(), []
-    for i, raw in enumerate(lines):
-        m = HEAD.match(raw.rstrip()) if raw[:1] not in ("", "#", " ", "\t") else None
-        if not m or m[2] in NOT_FUNCTIONS:
-            continue
-        decls, j = [], i + 1
-        while j < min(len(lines), i + 40):
-            nxt = lines[j].rstrip()
-            if nxt.startswith("{"):
-                break
-            if nxt and not (nxt.endswith(";") and not nxt.lstrip().startswith("#")):
-                j = len(lines)
-                break
-            if nxt:
-                decls.append(nxt.strip())
-            j += 1
-        if j >= len(lines) or not lines[j].startswith("{"):
-            continue
-        depth, end = 0, j
-        while end < len(lines):
-            depth += lines[end].count("{") - lines[end].count("}")
-            if depth <= 0:
-                break
-            end += 1
-        body = "\n".join(lines[j : end + 1])
-        params = [] if m[3].strip() in ("", "void") else [a.strip() for a in m[3].split(",") if a.strip()]
-        numbers = {int(x, 16 if x[:2].lower() == "0x" else 10) for x in NUMBER.findall(body)} | {defines[x] for x in CONSTANT.findall(body) if x in defines}
-        out.append((
-            m[2], i + 1, "c", "knr" if decls else "ansi", len(params), params, decls, m[1].strip() or "int", body.count("\n") + 1,
-            sorted({x for x in CALL.findall(body) if x not in NOT_FUNCTIONS}), sorted(v for v in numbers if v >= 16),
-            sorted({x for x in STRING.findall(body) if len(x) >= 3}), None, control_shape(body),
-        ))
-    return out
-
-
-# ---------------------------------------------------------------- assembler sources
-
-PROC = re.compile(r"^([A-Za-z_@$?][\w@$?]*)[ \t]+PROC\b", re.I)
-ENDP = re.compile(r"^([A-Za-z_@$?][\w@$?]*)[ \t]+ENDP\b", re.I)
-PUBLIC = re.compile(r"^[ \t]*PUBLIC[ \t]+(.+?)[ \t]*(?:;.*)?$", re.I)
-LABEL = re.compile(r"^([A-Za-z_@$?][\w@$?]*):")
-ASM_CALL = re.compile(r"\bcall\s+(?:(?:near|far)\s+(?:ptr\s+)?)?([A-Za-z_@$?][\w@$?]*)", re.I)
-ASM_INT = re.compile(r"\bint\s+([0-9][0-9A-Fa-f]*h|\d+)", re.I)
-ASM_NUMBER = re.compile(r"\b([0-9][0-9A-Fa-f]*h|\d+)\b", re.I)
-
-
-def asm_number(x: str) -> int:
-    return int(x[:-1], 16) if x[-1] in "hH" else int(x)
-
-
-def asm_functions(text: str) -> list[tuple]:
-    """Procedures, and public labels outside of any, with their calls, interrupts and constants."""
-    lines = [x.split(";")[0] for x in text.splitlines()]
-    public = {n.strip() for x in text.splitlines() if (m := PUBLIC.match(x)) for n in m[1].split(",")}
-    out, i, seen = [], 0, set()
-
-    def add(name: str, at: int, body: list[str], style: str) -> None:
-        joined = "\n".join(body)
-        seen.add(name)
-        numbers = {asm_number(x) for x in ASM_NUMBER.findall(joined)}
-        ints = {asm_number(x) for x in ASM_INT.findall(joined)}
-        out.append((name, at + 1, "asm", style, None, [], [], None, len(body), sorted(set(ASM_CALL.findall(joined))), sorted(v for v in numbers if v >= 16), None, sorted(ints), None))
-
-    while i < len(lines):
-        if m := PROC.match(lines[i]):
-            end = next((j for j in range(i + 1, len(lines)) if (e := ENDP.match(lines[j])) and e[1] == m[1]), len(lines) - 1)
-            add(m[1], i, lines[i : end + 1], "proc")
-            i = end
-        i += 1
-    for i, line in enumerate(lines):
-        if (m := LABEL.match(line)) and m[1] in public and m[1] not in seen:
-            end = next((j for j in range(i + 1, len(lines)) if (x := LABEL.match(lines[j])) and x[1] in public or PROC.match(lines[j])), len(lines))
-            add(m[1], i, lines[i:end], "public-label")
-    return out
-
+# ---------------------------------------------------------------- C and assembler sources
 
 SHAPE_DDL = "struct<ifs:int,elses:int,switches:int,cases:int,returns:int,gotos:int,loops:int,cyclomatic:int,max_depth:int>"
 SOURCE_FUNCTION = (
     "name string, line int, kind string, style string, param_count int, params array<string>, param_decls array<string>, return_hint string, body_lines int, "
     f"calls array<string>, constants array<bigint>, strings array<string>, interrupts array<int>, shape {SHAPE_DDL}"
 )
+#: What the macro table may take where it is broadcast.
+MACRO_BYTES = 64 << 20
+
+
+def _c_files(files: DataFrame, suffixes: str = "c|h|ha") -> DataFrame:
+    return files.where(F.lower("path").rlike(rf"\.({suffixes})$"))
+
+
+def source_macros(files: DataFrame) -> DataFrame:
+    """path, name, value, is_function and line of the macros of C files."""
+    return parsed(_c_files(files), lambda b: macros_of(b.decode("latin-1")), "name string, value string, is_function boolean, line int")
+
+
+def known_macros(files: DataFrame) -> dict[str, int]:
+    """The integers that object-like macros of all files stand for; of equal names the last file's counts."""
+    once = source_macros(files).where(~F.col("is_function")).groupBy("name").agg(F.max_by("value", F.struct("path", "line")).alias("value"))
+    size = once.agg(F.sum(F.length("name") + F.length("value"))).first()[0] or 0
+    if size > MACRO_BYTES:
+        raise ValueError("the macro table is larger than what can be broadcast; split the source tree")
+    return resolved_macros({r.name: r.value for r in once.collect()})
 
 
 def source_inventory(files: DataFrame) -> DataFrame:
     """The functions of C and assembler files. Macros of all files are resolved first; they are a symbol table, checked
     for its size and shared by broadcast."""
-    spark = files.sparkSession
-    c = files.where(F.lower("path").rlike(r"\.(c|h|ha)$"))
-    macros = parsed(c, lambda b: defines_of(b.decode("latin-1")), "name string, value string, is_function boolean, line int").where(~F.col("is_function"))
-    once = macros.groupBy("name").agg(F.max_by("value", F.struct("path", "line")).alias("value"))
-    size = once.agg(F.sum(F.length("name") + F.length("value"))).first()[0] or 0
-    if size > 64 << 20:
-        raise ValueError("the macro table is larger than what can be broadcast; split the source tree")
-    known = spark.sparkContext.broadcast(resolved_defines({r.name: r.value for r in once.collect()}))
-    funcs = parsed(files.where(F.lower("path").rlike(r"\.c$")), lambda b: c_functions(b.decode("latin-1"), known.value), SOURCE_FUNCTION)
-    asm = parsed(files.where(F.lower("path").rlike(r"\.asm$")), lambda b: asm_functions(b.decode("latin-1")), SOURCE_FUNCTION)
+    known = files.sparkSession.sparkContext.broadcast(known_macros(files))
+    funcs = parsed(_c_files(files, "c"), lambda b: Unit(b.decode("latin-1"), known.value).functions, SOURCE_FUNCTION)
+    asm = parsed(files.where(F.lower("path").rlike(r"\.asm$")), lambda b: Inventory(b.decode("latin-1")).functions(), SOURCE_FUNCTION)
     return funcs.unionByName(asm)
 
 
+def source_globals(files: DataFrame) -> DataFrame:
+    """path, name, type, line, extern and array of the variables C files declare at their top level."""
+    return parsed(_c_files(files), lambda b: Unit(b.decode("latin-1"), {}).globals, "name string, type string, line int, extern boolean, array boolean")
+
+
+def source_types(files: DataFrame) -> DataFrame:
+    """path, name and line of the types C files name."""
+    return parsed(_c_files(files), lambda b: Unit(b.decode("latin-1"), {}).types, "name string, line int")
+
+
+def asm_names(files: DataFrame) -> DataFrame:
+    """path, role (public, external or segment) and name of what assembler files declare."""
+
+    def rows(b: bytes):
+        found = Inventory(b.decode("latin-1"))
+        roles = (("public", sorted(found.publics)), ("external", sorted(found.externals)), ("segment", [n for n, _ in found.segments]))
+        return [(role, n) for role, names in roles for n in names]
+
+    return parsed(files.where(F.lower("path").rlike(r"\.asm$")), rows, "role string, name string")
+
+
 # ---------------------------------------------------------------- listings, batch files, symbol files
 
 LISTING = r"^\s*(\d+)\s+([0-9A-F]{8})\s+([0-9A-F]+)"
@@ -267,16 +149,19 @@ def listing_bytes(files: DataFrame) -> DataFrame:
     return rows.groupBy("path", "source_line").agg(joined.alias("hex"))
 
 
-#: Commands of the shell that a batch file may name without running a program.
-BUILTINS = ("echo", "cls", "cd", "rem", "pause", "set", "if", "goto", "for", "call", "copy", "del", "dir", "type", "exit", "mode", "path", "break", "off", "on", "not", "exist")
+#: Words of the shell that a batch file may name without running a program.
+SHELL_WORDS = tuple(
+    "assign attrib break call cd chdir choice cls comp copy ctty date del dir doskey echo erase errorlevel exist exit fc find for goto graphics if keyb label lh loadhigh md mem mkdir mode more move not path pause print prompt rd rem ren rename rmdir set shift sort start subst time tree type ver verify vol xcopy".split()
+)
 
 
 def batch_programs(files: DataFrame) -> DataFrame:
-    """path and the programs its lines name: name.exe, name.com, or the first bare word."""
-    lines = numbered_lines(files).select("path", F.lower(F.trim("line")).alias("line"))
-    named = F.regexp_extract_all("line", F.lit(r"([\w-]+)\.(?:exe|com)\b"), F.lit(1))
-    bare = F.regexp_extract("line", r"^@?([\w-]+)\s*$", 1)
-    words = F.array_except(F.array_union(named, F.when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>"))), F.array(*map(F.lit, BUILTINS)))
+    """path and the programs its lines name, in lower case: a line that is one name of 1 to 8 characters, behind `call`
+    or not, or a name with .exe or .com anywhere in a line."""
+    lines = numbered_lines(files).select("path", F.lower("line").alias("line"))
+    alone = F.regexp_extract("line", r"^\s*(?:@?call\s+)?([a-z0-9_~-]{1,8})(?:\.(?:exe|com))?\s*$", 1)
+    named = F.regexp_extract_all("line", F.lit(r"(?<![\w~-])([a-z0-9_~-]{1,8})\.(?:exe|com)(?!\w)"), F.lit(1))
+    words = F.array_except(F.array_union(named, F.array(alone)), F.array(F.lit(""), *map(F.lit, SHELL_WORDS)))
     return lines.select("path", F.explode(words).alias("program")).distinct()
 
 
