@@ -53,14 +53,18 @@ def degree_agreement(a: Column, b: Column) -> Column:
 PAIR_WEIGHTS = {"constants": 1.0, "strings": 2.5, "size": 0.35, "degree": 0.35, "shape": 1.2}
 
 
-def pair_score(constants: Column, strings: Column, neighbours: Column, size: Column, degree: Column, shape: Column, neighbour_weight: Column | float) -> Column:
-    """Weighted mean of the parts; strings and shape count only where they are known."""
-    w = PAIR_WEIGHTS
+def pair_score(
+    constants: Column, strings: Column, neighbours: Column, size: Column, degree: Column, shape: Column, neighbour_weight: Column | float, shape_weight: float = PAIR_WEIGHTS["shape"]
+) -> Column:
+    """Weighted mean of the parts. Strings (null unless both sides have some) weigh in only where they are known; every
+    other part always does, as 0 where it is unknown."""
+    w = PAIR_WEIGHTS | {"shape": shape_weight}
     nw = neighbour_weight if isinstance(neighbour_weight, Column) else F.lit(float(neighbour_weight))
-    parts = [(constants, F.lit(w["constants"])), (neighbours, nw), (strings, F.lit(w["strings"])), (size, F.lit(w["size"])), (degree, F.lit(w["degree"])), (shape, F.lit(w["shape"]))]
-    total = sum((F.when(s.isNotNull(), s * k).otherwise(0.0) for s, k in parts), F.lit(0.0))
-    weight = sum((F.when(s.isNotNull(), k).otherwise(0.0) for s, k in parts), F.lit(0.0))
-    return F.when(weight > 0, total / weight).otherwise(0.0)
+    known = F.coalesce(constants, F.lit(0.0)) * w["constants"] + F.coalesce(neighbours, F.lit(0.0)) * nw
+    for part, name in ((size, "size"), (degree, "degree"), (shape, "shape")):
+        known = known + F.coalesce(part, F.lit(0.0)) * w[name]
+    fixed = w["constants"] + w["size"] + w["degree"] + w["shape"]
+    return (known + F.coalesce(strings, F.lit(0.0)) * w["strings"]) / (F.lit(fixed) + nw + F.when(strings.isNotNull(), w["strings"]).otherwise(0.0))
 
 
 def printable_share(b: Column) -> Column:
@@ -117,11 +121,21 @@ def unpack_2bpp(byte: Column) -> Column:
 
 
 def literals(text: Column, least: int = 16) -> Column:
-    """Distinct integers of `least` or more in decimal or 0x notation, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"(0[xX][0-9A-Fa-f]{1,12}|[0-9]{1,15})"), F.lit(1))
+    """Distinct integers of `least` or more in decimal or 0x notation, as decimal digits in order of value.
+
+    Runs of digits are taken whole, however long. A hexadecimal run of more than 16 digits stays as 0x and its digits, and
+    comes before the decimal ones of as many characters.
+    """
+    found = F.regexp_extract_all(text, F.lit(r"(0[xX][0-9A-Fa-f]+|[0-9]+)"), F.lit(1))
+    bare = lambda x, lead: F.regexp_replace(F.lower(x), lead, "")
     hexed = lambda x: F.lower(F.substring(x, 1, 2)) == "0x"
-    value = lambda x: F.when(hexed(x), F.conv(F.substr(x, F.lit(3)), 16, 10)).otherwise(x).cast("bigint")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, value), lambda v: v >= least)))
+    short = lambda h: F.conv(F.when(h == "", "0").otherwise(h), 16, 10)
+    of_hex = lambda h: F.when(F.length(h) <= 16, short(h)).otherwise(F.concat(F.lit("0x"), h))
+    value = lambda x: F.when(hexed(x), of_hex(bare(x, "^0x0*"))).otherwise(bare(x, "^0+(?=[0-9])"))
+    large = lambda v: (F.length(v) > 9) | (v.try_cast("bigint") >= least)
+    kept = F.array_distinct(F.filter(F.transform(found, value), large))
+    keyed = F.array_sort(F.transform(kept, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))
+    return F.transform(keyed, lambda s: s["v"])
 
 
 def mask_matches(data: Column, mask: Column, at: Column, image: Column) -> Column:

@@ -37,11 +37,18 @@ def dispatch_targets(instructions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def flow_counters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """function, blocks, edges, loops (edges back to the same place or before) and cyclomatic = edges - blocks + 2, 0 at
-    least; blocks (function, start), edges (function, src, dst)."""
-    b = blocks.groupBy("function").agg(F.countDistinct("start").alias("blocks"))
+    """function, blocks, edges, loops (edges back to the same place or before), returns, indirect and cyclomatic = edges -
+    blocks + 2, 0 at least; blocks (function, start, and where it is known how they end: return, indirect, ...), edges
+    (function, src, dst)."""
+    ends = F.col("ends") if "ends" in blocks.columns else F.lit(None).cast("string")
+    b = blocks.select("function", "start", ends.alias("ends")).groupBy("function").agg(
+        F.countDistinct("start").alias("blocks"),
+        F.countDistinct(F.when(F.col("ends") == "return", F.col("start"))).alias("returns"),
+        F.countDistinct(F.when(F.col("ends") == "indirect", F.col("start"))).alias("indirect"),
+    )
     e = edges.distinct().groupBy("function").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("dst") <= F.col("src")).alias("loops"))
-    j = b.join(e, "function", "left").select("function", "blocks", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("loops", F.lit(0)).alias("loops"))
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("edges", "loops")]
+    j = b.join(e, "function", "left").select("function", "blocks", *counted, "returns", "indirect")
     return j.withColumn("cyclomatic", F.greatest(F.lit(0), F.col("edges") - F.col("blocks") + 2))
 
 

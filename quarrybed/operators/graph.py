@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import persist_shared
+from ..shared import Rounds
 
 
 def inverted(edges: DataFrame) -> DataFrame:
@@ -18,22 +18,42 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def reach(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, reach: the size of what each source node reaches, itself included.
+def closure(edges: DataFrame) -> DataFrame:
+    """root, node: what each source node reaches, itself included.
 
-    Paths double in each round, so a chain of n steps takes log n rounds; each round is written to the shared
-    folder. Stops when nothing is new.
+    Paths double in each round, so a chain of n steps takes log n rounds; each round is written to the shared folder and
+    the loop ends when nothing is new. The result has as many rows as there are reachable pairs, so for graphs whose
+    parts reach each other it is the square of a part.
     """
-    e = edges.select("src", "dst").distinct()
-    closed = persist_shared(e.select(F.col("src").alias("root"), F.col("dst").alias("node")).unionByName(e.select(F.col("src").alias("root"), F.col("src").alias("node"))).distinct(), "reach")
+    spark = edges.sparkSession
+    e = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    own = F.explode(F.array("src", "dst")).alias("node")
+    state = Rounds(spark, "reach")
+    closed = state.put(e.select(F.col("src").alias("root"), own).distinct())
     n = closed.count()
-    for _ in range(rounds):
+    while True:
         on = closed.select(F.col("root").alias("node"), F.col("node").alias("next"))
-        closed = persist_shared(closed.unionByName(closed.join(on, "node").select("root", F.col("next").alias("node"))).distinct(), "reach")
+        # every root reaches itself, so the join holds the old pairs as well
+        closed = state.put(closed.join(on, "node").select("root", F.col("next").alias("node")).unionByName(closed.select("root", "node")).distinct())
         before, n = n, closed.count()
         if n == before:
-            break
-    return closed.groupBy("root").agg(F.count(F.lit(1)).alias("reach")).withColumnRenamed("root", "node")
+            return closed
+
+
+def reach(edges: DataFrame) -> DataFrame:
+    """node, reach: the size of what each source node reaches, itself included."""
+    return closure(edges).groupBy("root").agg(F.count(F.lit(1)).alias("reach")).withColumnRenamed("root", "node")
+
+
+def top_roots(edges: DataFrame, k: int = 3, least: int = 10, reached: DataFrame | None = None) -> DataFrame:
+    """node, reach of the k roots that reach most (ties: the larger name), of these the ones that reach `least` or more."""
+    sizes = reach(edges) if reached is None else reached
+    return roots(edges).join(sizes, "node").orderBy(F.desc("reach"), F.desc("node")).limit(k).where(F.col("reach") >= least)
+
+
+def known_edges(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """The edges whose target is a known node."""
+    return edges.join(nodes.select(F.col(node).alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
 
 
 def descend(edges: DataFrame, reach_sizes: DataFrame, entry, depth: int = 12, fan_out: int = 3, drop: int = 3):

@@ -485,11 +485,13 @@ def control_counts(spark, d):
     return rows.withColumn("cyclomatic", 1 + F.col("p") + F.col("br") + F.col("li"))
 
 
-@query(r"""SELECT doc_id, len(v) AS n_literals, array_to_string(v, ',') AS literals FROM (SELECT doc_id, list_sort(list_distinct([x FOR x IN [CAST(y AS BIGINT) FOR y IN
-regexp_extract_all(text, '(0[xX][0-9A-Fa-f]{1,12}|[0-9]{1,15})')] IF x >= 16])) AS v FROM documents) WHERE len(v) > 0""")
+@query(r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(0[xX][0-9A-Fa-f]+|[0-9]+)')) AS x FROM documents),
+g AS (SELECT doc_id, lower(x) AS x, CASE WHEN lower(x) LIKE '0x%' THEN regexp_replace(lower(x), '^0x0*', '') ELSE regexp_replace(x, '^0+([0-9])', '\1') END AS d FROM f),
+h AS (SELECT DISTINCT doc_id, CASE WHEN x NOT LIKE '0x%' THEN d WHEN length(d) > 16 THEN '0x' || d ELSE CAST(CAST('0x0' || d AS UHUGEINT) AS VARCHAR) END AS v FROM g)
+SELECT doc_id, count(*) AS n_literals, string_agg(v, ',' ORDER BY length(v), v) AS literals FROM h WHERE length(v) > 9 OR TRY_CAST(v AS BIGINT) >= 16 GROUP BY doc_id""")
 def literal_extract(spark, d):
     rows = table(spark, d, "documents").select("doc_id", X.literals(F.col("text")).alias("v")).where(F.size("v") > 0)
-    return rows.select("doc_id", F.size("v").cast("bigint").alias("n_literals"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("literals"))
+    return rows.select("doc_id", F.size("v").cast("bigint").alias("n_literals"), F.array_join("v", ",").alias("literals"))
 
 
 @query(r"""SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, m AS match FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(lines[line_no], '[0-9]+(?:\.[0-9]+)?%?')) AS m

@@ -18,7 +18,9 @@ def test_dispatch_and_flow(spark):
     assert rows(A.dispatch_targets(i), "target") == [("v1", 16), ("v1", 32)]
     b = spark.createDataFrame([("f", 0), ("f", 4), ("f", 8), ("g", 0)], "function string, start int")
     e = spark.createDataFrame([("f", 0, 4), ("f", 4, 8), ("f", 8, 4), ("f", 0, 8)], "function string, src int, dst int")
-    assert rows(A.flow_counters(b, e), "function") == [("f", 3, 4, 1, 3), ("g", 1, 0, 0, 1)]
+    assert rows(A.flow_counters(b, e), "function") == [("f", 3, 4, 1, 0, 0, 3), ("g", 1, 0, 0, 0, 0, 1)]
+    ends = spark.createDataFrame([("f", 0, "jump"), ("f", 4, "indirect"), ("f", 8, "return"), ("g", 0, "return")], "function string, start int, ends string")
+    assert [tuple(r)[4:6] for r in A.flow_counters(ends, e).orderBy("function").collect()] == [(1, 1), (1, 0)]
 
 
 def test_multisets_and_conflicts(spark):

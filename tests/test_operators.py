@@ -89,6 +89,30 @@ def test_feedback_rounds_stop_when_idle(spark):
     assert sorted(r.a for r in got.collect()) == [1]
     got = M.rounds_of_matching(lambda mapping, w: p, "a", "b", stop_when_idle=False)
     assert sorted(r.a for r in got.collect()) == [1, 2]
+    weights = []
+    seed = spark.createDataFrame([(7, 7)], "a int, b int")
+    got = M.rounds_of_matching(lambda mapping, w: weights.append(w) or p, "a", "b", seed=seed)
+    assert sorted((r.a, r.score) for r in got.collect()) == [(1, 0.9), (7, 1.0)] and weights == [0.6, 1.2]
+    assert M.round_settings(0, 0.45, False) == (0.81, 0.0) and M.round_settings(5, 0.45, False) == (0.45, 2.0)
+
+
+def test_greedy_assignment_of_a_chain_ends_by_itself(spark):
+    pairs = [(i // 2 + i % 2, i // 2, 1.0 - i / 100) for i in range(16)]
+    got = {(r.a, r.b) for r in M.greedy_assignment(spark.createDataFrame(pairs, "a int, b int, score double"), "a", "b").collect()}
+    ua, ub, want = set(), set(), set()
+    for s, a, b in sorted(((s, a, b) for a, b, s in pairs), reverse=True):
+        if a not in ua and b not in ub:
+            ua.add(a), ub.add(b), want.add((a, b))
+    assert got == want and len(got) == 8
+
+
+def test_alignment_in_blocks_equals_the_whole_table():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 9), (9, 1), (25, 30), (70, 40)):
+        score = np.round(rng.random((n, m)), 2)
+        plain = M.Alignment(n, m, score.__getitem__)
+        plain.step = n + 1
+        assert M.align_scores(score) == plain.pairs()
 
 
 def test_neighbours_and_order(spark):
@@ -96,7 +120,13 @@ def test_neighbours_and_order(spark):
     ea = spark.createDataFrame([("h", "f"), ("h", "g")], "src string, dst string")
     eb = spark.createDataFrame([("H", "F"), ("K", "Z")], "src string, dst string")
     p = spark.createDataFrame([("h", "H"), ("h", "K"), ("q", "H")], "a string, b string")
-    assert rows(M.neighbour_score(m, ea, eb, p, "a", "b"), "a", "b") == [("h", "H", 0.5), ("h", "K", 0.0), ("q", "H", None)]
+    # q has no mapped callee while H has callees: 0; f is called by none that is mapped, nor is Z by any but K
+    assert rows(M.neighbour_score(m, ea, eb, p, "a", "b"), "a", "b") == [("h", "H", 0.5), ("h", "K", 0.0), ("q", "H", 0.0)]
+    both = spark.createDataFrame([("h", "H"), ("f", "F")], "a string, b string")
+    ea = spark.createDataFrame([("h", "f"), ("k", "h")], "src string, dst string")
+    eb = spark.createDataFrame([("H", "F")], "src string, dst string")
+    q = spark.createDataFrame([("h", "H"), ("f", "F"), ("k", "K")], "a string, b string")
+    assert rows(M.neighbour_score(both, ea, eb, q, "a", "b"), "a") == [("f", "F", 1.0), ("h", "H", 1.0), ("k", "K", 0.0)]
     anchors = spark.createDataFrame([("x", 9), ("y", 1), ("y", 5), ("y", 7), ("y", 8)], "f string, pos int")
     items = spark.createDataFrame([("x",), ("y",), ("z",)], "f string")
     assert rows(M.infer_order(anchors, items, "f", "pos").select("f", "rank"), "rank") == [("y", 1), ("x", 2), ("z", 3)]

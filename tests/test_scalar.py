@@ -38,12 +38,17 @@ def test_similarities(spark):
     assert one(spark, 2, lambda c: X.mean_of_known(X.ratio(c, F.lit(4)), F.lit(None).cast("double")), "int") == 0.5
     assert one(spark, 0, lambda c: X.degree_agreement(c, F.lit(0)), "int") == 0.5
     none = F.lit(None).cast("double")
-    assert one(spark, 1.0, lambda c: X.pair_score(c, none, none, none, none, F.lit(0.0), 0.6), "double") == pytest.approx(1 / 2.2)
+    # only unknown strings drop out of the weights: 1 + 0.6 + 0.35 + 0.35 + 1.2
+    assert one(spark, 1.0, lambda c: X.pair_score(c, none, none, none, none, F.lit(0.0), 0.6), "double") == pytest.approx(1 / 3.5)
+    assert one(spark, 1.0, lambda c: X.pair_score(c, F.lit(0.0), none, none, none, F.lit(1.0), 0.0), "double") == pytest.approx(2.2 / 5.4)
 
 
 def test_text(spark):
     assert one(spark, "Ab-c Ü 9!", X.normalize_string) == "abcü9"
-    assert one(spark, "x 0x1F 7 16 0x10 31", X.literals) == [16, 31]
+    assert one(spark, "x 0x1F 7 16 0x10 31 007", X.literals) == ["16", "31"]
+    # digit runs are taken whole
+    text = "12345678901234567890123 0xFFFFFFFFFFFFFFFF 0x1FFFFFFFFFFFFFFFFF 0000000000000000012 9007199254740993"
+    assert one(spark, text, X.literals) == ["9007199254740993", "0x1fffffffffffffffff", str(2**64 - 1), "12345678901234567890123"]
 
 
 def test_mask(spark):
