@@ -69,24 +69,23 @@ def pair_score(
 
 def printable_share(b: Column) -> Column:
     """Share of bytes in 0x20..0x7E."""
-    return _share(b, lambda x: (x >= 0x20) & (x <= 0x7E))
+    return _share(b, r"[^\x20-\x7E]")
 
 
 def zero_share(b: Column) -> Column:
-    return _share(b, lambda x: x == 0)
+    return _share(b, r"[^\x00]")
 
 
 def byte_array(b: Column) -> Column:
     """The bytes of a binary column as integers 0..255."""
-    text = F.hex(b)
-    n = F.length(b)
-    byte = lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), byte)).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(b), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
-def _share(b: Column, test) -> Column:
-    a = byte_array(b)
-    return F.when(F.size(a) > 0, F.size(F.filter(a, test)) / F.size(a)).otherwise(0.0)
+def _share(b: Column, others: str) -> Column:
+    """Share of the bytes that are left once `others` (a character class) are taken out."""
+    kept = F.length(F.regexp_replace(F.decode(b, "ISO-8859-1"), others, ""))
+    return F.when(F.length(b) > 0, kept / F.length(b)).otherwise(0.0)
 
 
 def le16(b: Column, at: int | Column) -> Column:

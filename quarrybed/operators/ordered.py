@@ -93,6 +93,26 @@ def monotone(df: DataFrame, value: str, by: list[str], order: list[str]) -> Data
     return rows.groupBy(*by).agg((~F.bool_or("_f")).alias("is_monotone"), F.count_if("_f").alias("n_falls"))
 
 
+def index_of(words: Column, size: Column) -> Column:
+    """entries and stride of an array of 16-bit words read as an index into a file of `size` bytes; null where it is none.
+
+    Entries of two words (key, offset) are tried before entries of one (offset); the index ends with the key 0xFFFF, whose
+    offset still counts. Three offsets at least, none falls, and the last lies in the file.
+    """
+
+    def read(step: int, at: int) -> Column:
+        n = F.floor(F.size(words) / step).cast("int")
+        entry = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.get(words, i * step).alias("key"), F.get(words, i * step + at).alias("off")))
+        entries = F.when(n > 0, entry).otherwise(F.array().cast("array<struct<key:int,off:int>>"))
+        stop = F.array_position(F.transform(entries, lambda e: e["key"] == 0xFFFF), F.lit(True)).cast("int")
+        offs = F.transform(F.when(stop > 0, F.slice(entries, 1, stop)).otherwise(entries), lambda e: e["off"])
+        rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(offs) - 1, F.lit(1))), lambda i: F.get(offs, i - 1) <= F.get(offs, i))
+        fits = (F.size(offs) >= 3) & rising & (F.get(offs, F.size(offs) - 1) <= size)
+        return F.when(fits, F.struct((F.size(offs) - 1).alias("entries"), F.lit(2 * step).alias("stride")))
+
+    return F.coalesce(read(2, 1), read(1, 0))
+
+
 def first_divergence(a: DataFrame, b: DataFrame, key: list[str], idx: str, value: str) -> DataFrame:
     """key and first_diff: the first index where two sequences differ or one ends; null if they are equal."""
     x = a.select(*key, idx, F.col(value).alias("_x"), F.lit(True).alias("_in_a"))

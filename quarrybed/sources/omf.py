@@ -49,6 +49,13 @@ class Reader:
         a = self.u8()
         return (a & 0x7F) << 8 | self.u8() if a & 0x80 else a
 
+    def frame(self, method: int) -> None:
+        """Skip what a frame method is followed by: an index, a frame number, or nothing."""
+        if method < 3:
+            self.index()
+        elif method == 3:
+            self.at += 2
+
     def name(self) -> str:
         n = self.u8()
         self.at += n
@@ -94,13 +101,12 @@ class Module:
             while r.more():
                 data += self._iterated(r, wide)
             self._put(seg, off, data)
-            self._last = None  # fixups of iterated data are not placed
         elif base == FIXUPP and self._last:
             self._fixups(r, wide)
         elif base == MODEND and r.more() and r.u8() & 0x40 and r.more():
             fix = r.u8()
             if not fix & 0x80:
-                r.index()
+                r.frame(fix >> 4 & 7)
             target = None if fix & 0x08 else r.index()
             self.start = (target, r.number(wide) if not fix & 0x04 else 0)
 
@@ -127,8 +133,10 @@ class Module:
         mask = self.segments[seg][3]
         while r.more():
             a = r.u8()
-            if not a & 0x80:  # a thread definition
-                if (a >> 2 & 7) < 3 or not a & 0x40:
+            if not a & 0x80:  # a thread definition, of a frame or a target
+                if a & 0x40:
+                    r.frame(a >> 2 & 7)
+                elif (a >> 2 & 7) < 4:
                     r.index()
                 continue
             where = (a & 3) << 8 | r.u8()
@@ -136,8 +144,8 @@ class Module:
             at = off + where
             mask[at : at + n] = bytes(len(mask[at : at + n]))
             fix = r.u8()
-            if not fix & 0x80 and (fix >> 4 & 7) < 3:
-                r.index()
+            if not fix & 0x80:
+                r.frame(fix >> 4 & 7)
             if not fix & 0x08:
                 r.index()
             if not fix & 0x04:
@@ -190,7 +198,7 @@ def publics(files: DataFrame) -> DataFrame:
 
 
 def code_signatures(segs: DataFrame) -> DataFrame:
-    """Signatures (name, module, bytes, mask) of code segments, for sources.binary.signature_hits."""
+    """Signatures (name, module, bytes, mask) of code segments, for sources.signatures."""
     from pyspark.sql import functions as F
 
     code = segs.where(F.upper("class").contains("CODE") & (F.col("fixed_bytes") > 0))

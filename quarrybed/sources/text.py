@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import undecorate
 from .asmsource import Inventory
 from .binary import parsed
-from .csource import Unit, macros_of, resolved_macros
+from .csource import Unit, macros_of, resolved_macros, without_comments
 
 # ---------------------------------------------------------------- linker maps
 
@@ -49,6 +49,24 @@ def map_segments(files: DataFrame, seg_bias: int = 0) -> DataFrame:
     return rows.select("path", "n", part(1).alias("name"), part(2).alias("class"), part(3).alias("group"), address.alias("address"), _hex(part(6)).alias("size"))
 
 
+def code_symbols(symbols: DataFrame) -> DataFrame:
+    """path, name, offset and module of the symbols of segment 0; the first symbol of an offset stays."""
+    rows = symbols.where(F.startswith("address", F.lit("0000:"))).select("path", "n", "name", F.col("linear").alias("offset"), "module")
+    first = F.row_number().over(Window.partitionBy("path", "offset").orderBy("n"))
+    return rows.withColumn("_r", first).where("_r = 1").drop("_r", "n")
+
+
+def data_group(symbols: DataFrame) -> DataFrame:
+    """path and paragraph: the first segment that is not 0, where the data of a small program lies."""
+    seg = F.conv(F.substring("address", 1, 4), 16, 10).cast("int")
+    return symbols.select("path", "n", seg.alias("s")).where("s <> 0").groupBy("path").agg(F.min_by("s", "n").alias("paragraph"))
+
+
+def comment_free(files: DataFrame) -> DataFrame:
+    """path and text of C files without their comments; line numbers stay."""
+    return parsed(_c_files(files), lambda b: [(without_comments(b.decode("latin-1")),)], "text string")
+
+
 def truth_map(symbols: DataFrame) -> DataFrame:
     """path, name, address (of the first symbol of that name) and collisions (other addresses of the name)."""
     best = F.min_by("address", "n").alias("address")
@@ -165,10 +183,32 @@ def batch_programs(files: DataFrame) -> DataFrame:
     return lines.select("path", F.explode(words).alias("program")).distinct()
 
 
+SYMBOL_FIELDS = ", ".join(f"{f} map<string, array<string>>" for f in ("routines", "globals", "_data_spans", "_displacements", "_not_addresses"))
+
+
+def _symbol_documents(spark: SparkSession, path: str) -> DataFrame:
+    """program (the folder of the file) and the fields of JSON symbol files; what is not a list of an address counts not."""
+    docs = spark.read.schema(SYMBOL_FIELDS).option("multiLine", True).option("recursiveFileLookup", "true").json(path)
+    return docs.withColumn("program", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1))
+
+
+def _span_length(v):
+    """The first whole number of a span's values."""
+    return F.get(F.filter(F.transform(v, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull()), F.lit(0))
+
+
+def symbol_counts(spark: SparkSession, path: str) -> DataFrame:
+    """program, routines, globals, spans and span_bytes of the symbol files below a folder."""
+    size = lambda c: F.coalesce(F.size(F.map_keys(c)), F.lit(0)).cast("bigint")
+    spans = F.coalesce(F.map_filter("_data_spans", lambda k, v: F.startswith(k, F.lit("0x"))), F.create_map().cast("map<string, array<string>>"))
+    total = F.aggregate(F.map_values(spans), F.lit(0).cast("bigint"), lambda n, v: n + F.coalesce(_span_length(v), F.lit(0)))
+    return _symbol_documents(spark, path).select("program", size("routines").alias("routines"), size("globals").alias("globals"), size(spans).alias("spans"), total.alias("span_bytes"))
+
+
 def symbol_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """routines (address, name, why) and globals (segment, address, name, why) of a JSON symbol file."""
-    entry = "map<string, array<string>>"
-    doc = spark.read.schema(f"routines {entry}, globals {entry}").option("multiLine", True).json(path)
+    """routines (address, name, why), globals (segment, address, name, why), spans (start, length) and decided (address: a
+    displacement or no address at all) of JSON symbol files."""
+    doc = _symbol_documents(spark, path)
 
     def rows(field: str) -> DataFrame:
         r = doc.select(F.explode(field).alias("key", "v"))
@@ -177,4 +217,12 @@ def symbol_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     routine = rows("routines").select(F.conv("key", 16, 10).cast("bigint").alias("address"), "name", "why")
     parts = F.split("key", ":")
     seg = F.when(F.size(parts) == 2, F.conv(F.get(parts, F.lit(0)), 16, 10).cast("bigint"))
-    return {"routines": routine, "globals": rows("globals").select(seg.alias("segment"), F.conv(F.element_at(parts, -1), 16, 10).cast("bigint").alias("address"), "name", "why")}
+    hexed = lambda c: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("bigint")
+    span = doc.select(F.explode("_data_spans").alias("key", "v")).where(F.startswith("key", F.lit("0x")))
+    decided = doc.select(F.explode("_displacements").alias("key", "v")).unionByName(doc.select(F.explode("_not_addresses").alias("key", "v")))
+    return {
+        "routines": routine,
+        "globals": rows("globals").select(seg.alias("segment"), F.conv(F.element_at(parts, -1), 16, 10).cast("bigint").alias("address"), "name", "why"),
+        "spans": span.select(hexed(F.col("key")).alias("start"), F.coalesce(_span_length(F.col("v")), F.lit(0)).alias("length")),
+        "decided": decided.select(hexed(F.element_at(F.split("key", ":"), -1)).alias("address")).where("address is not null").distinct(),
+    }

@@ -154,8 +154,8 @@ def test_evidence(spark):
     e = spark.createDataFrame([(1, "string", 0.9, 1), (1, "port", 0.9, 0), (2, "port", 0.9, 0), (3, "a", 0.5, 0), (3, "b", 0.68, 1)], "f int, kind string, s double, o int")
     assert rows(E.corroborated(e, ["f"], "kind", "s", "o"), "f") == [(1, 2, "port", 0.9), (2, 1, "port", 0.65), (3, 2, "b", 0.83)]
     assert rows(E.name_diff(spark.createDataFrame([("a",), ("b",)], "n string"), spark.createDataFrame([("b",), ("c",)], "n string"), "n"), "n") == [("a", "only_in_a"), ("b", "common"), ("c", "only_in_b")]
-    f = spark.createDataFrame([("x", "blocker"), ("y", "warn"), ("z", "info")], "p string, level string")
-    assert [(r.p, r.in_scope, r.confidence) for r in E.triage(f, "p").orderBy("p").collect()] == [("x", False, "high"), ("y", True, "medium"), ("z", True, "high")]
+    f = spark.createDataFrame([("x", "blocker", "overlaid"), ("y", "warn", "few frames"), ("z", "info", "compiled")], "path string, level string, code string")
+    assert [(r.path, r.in_scope, r.confidence) for r in E.triage_verdict(f).orderBy("path").collect()] == [("x", False, "high"), ("y", True, "low"), ("z", True, "high")]
 
 
 def test_passages_refuse_what_only_looks_alike(spark):
