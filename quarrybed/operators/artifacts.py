@@ -52,6 +52,15 @@ def flow_counters(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return j.withColumn("cyclomatic", F.greatest(F.lit(0), F.col("edges") - F.col("blocks") + 2))
 
 
+def concatenated(libraries: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several libraries one after the other, with the library each is from (origin)."""
+    out = None
+    for name, df in libraries.items():
+        one = df.withColumn("origin", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def last_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """The last k rows of each key, with age (0: the last)."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
@@ -16,21 +14,10 @@ from ..operators import matching as M
 from ..operators import ordered as O
 from ..operators import segmentation as S
 from ..session import table
+from ..shared import persist_shared
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with the SQL it equals."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # ---------------------------------------------------------------- features and similarity
@@ -39,14 +26,15 @@ TOKENS_SQL = """tok AS (SELECT DISTINCT doc_id, lower(t) AS token FROM (SELECT d
 n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)"""
 
 
-def _doc_tokens(spark, d):
-    return T.long_features(table(spark, d, "documents").select("doc_id", "text"), "doc_id", T.tokens(F.col("text")))
+def _doc_tokens(docs, unique):
+    return T.long_features(docs.select("doc_id", "text"), "doc_id", T.tokens(F.col("text")), unique=unique)
 
 
 @query(f"WITH {TOKENS_SQL} SELECT token, count(*) AS df, round(ln(1 + any_value(n.n) / count(*)), 6) AS idf FROM tok, n GROUP BY token")
 def idf_tokens(spark, d):
-    n = table(spark, d, "documents").select("doc_id").distinct().count()
-    return T.idf(_doc_tokens(spark, d), n).select("token", "df", F.round("weight", 6).alias("idf"))
+    docs = table(spark, d, "documents")
+    n, unique = T.is_unique(docs, "doc_id")
+    return T.idf(_doc_tokens(docs, unique), n).select("token", "df", F.round("weight", 6).alias("idf"))
 
 
 STOP = ("the", "and", "of", "to", "in", "that", "is", "it", "for", "with", "on", "be", "was", "as", "by", "are")
@@ -78,9 +66,10 @@ p AS (SELECT item_id, doc_id, round(i / (sa.s + sb.s - i), 6) AS score FROM i JO
 
 def _pairs(spark, d):
     items, docs = table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
-    a = T.long_features(items, "item_id", T.tokens(F.col("text")))
-    b = T.long_features(docs, "doc_id", T.tokens(F.col("text")))
-    weights = T.idf(a.select("token").unionByName(b.select("token")), items.count() + docs.count())
+    (n, one), (m, each) = T.is_unique(items, "item_id"), T.is_unique(docs, "doc_id")
+    a = persist_shared(T.long_features(items, "item_id", T.tokens(F.col("text")), unique=one), "tokens")
+    b = persist_shared(T.long_features(docs, "doc_id", T.tokens(F.col("text")), unique=each), "tokens")
+    weights = T.idf(a.select("token").unionByName(b.select("token")), n + m)
     return T.weighted_jaccard(a, b, weights, "item_id", "doc_id", 0.2).withColumn("score", F.round("score", 6))
 
 
@@ -549,3 +538,7 @@ WHERE coalesce(f.n, 0) <> coalesce(e.n, 0)""")
 def multiset_compare(spark, d):
     li = table(spark, d, "lineitem")
     return A.multiset_compare(li.where("l_quantity < 25"), li.where("l_quantity >= 25"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+# the other modules add their queries to the same registry
+from . import formats, programs  # noqa: E402, F401
