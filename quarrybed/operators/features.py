@@ -87,7 +87,8 @@ def passage_hits(passages: DataFrame, docs: DataFrame, pid: str, did: str, ptext
     words = F.split("_p", " ", -1)
     p = p.withColumn("_n", F.size(words)).withColumn("_h", F.xxhash64(F.slice(words, 2, width)))
     d = docs.select(did, F.col(dtext).alias("_d"))
-    probes = d.select(did, F.explode(F.array_distinct(window_hashes(F.split("_d", " ", -1), width))).alias("_h"))
+    # the words are a column of their own: inside the windows' lambda they would be cut anew for each window
+    probes = d.select(did, F.split("_d", " ", -1).alias("_w")).where(F.size("_w") >= width).select(did, F.explode(F.array_distinct(window_hashes(F.col("_w"), width))).alias("_h"))
     long = p.where(F.col("_n") >= width + 2)
     pairs = probes.join(long.select(pid, "_h"), "_h").select(pid, did).distinct()
     found = pairs.join(long.select(pid, "_p"), pid).join(d, did).where(F.contains("_d", "_p")).select(pid, did)
