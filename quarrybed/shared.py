@@ -65,6 +65,26 @@ class Rounds:
             drop_path(self.spark, self.paths.pop())
 
 
+class Scratch:
+    """Tables in the shared folder that one computation reads and removes when its result has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, df: DataFrame | None = None) -> None:
+        """Remove one table, or all that are left."""
+        for key in [id(df)] if df is not None else list(self.paths):
+            if key in self.paths:
+                drop_path(self.spark, self.paths.pop(key)[0])
+
+
 class Appended:
     """A table that a loop adds rows to."""
 
