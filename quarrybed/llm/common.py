@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,42 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import table
+from ..shared import Rounds, Scratch, drop_path, persist_shared, scratch_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = spark.conf.get("quarrybed.scratch.dir", "")
-    if not own:
-        own = tempfile.mkdtemp(prefix="quarrybed-")
-        spark.conf.set("quarrybed.scratch.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def persist_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it back.
-
-    A lost executor costs no recomputation after this, and a second consumer does not repeat the work.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = [
+    "Rounds", "Scratch", "drop_path", "extended", "map_texts", "persist_shared", "pieces", "restored", "scratch_path", "shared_dir", "sheltered", "small_batches", "table", "texts_of", "without",
+]
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

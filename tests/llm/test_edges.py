@@ -294,3 +294,48 @@ def test_jaccard_of_chains_and_mixed_lists(spark):
     for n, t in ((4, (85, 100)), (5, (4, 5))):
         got = jaccard.near_duplicates(df, n=n, t=t, fragment_shingles=1500)
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, n, *t)
+
+
+def test_jaccard_with_shared_keys_and_two_levels(spark):
+    from test_queries import brute_components
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))) for i in range(120)]
+    rows += [(200 + i, rows[i % 60][1] + (" extra" if i % 2 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # 64 keys for some 180 sets, a fragment for 20 shingles, dealt in two levels from 4 fragments on
+    got = jaccard.near_duplicates(df, n=4, t=(85, 100), key_bits=6, fragment_shingles=20, wide=4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 4, 85, 100)
+
+
+def test_frequent_shingles_leave_early():
+    heavy = jaccard.HEAVY
+    k = np.sort(np.random.default_rng(1).integers(1, 1 << 62, heavy + 5).astype(np.uint64))
+    sets = {int(x): np.unique(np.array([7 << 40, 9 << 45, 1000 + i], dtype=np.uint64)) for i, x in enumerate(k.tolist())}
+    size = np.full(len(k), 3, dtype=np.uint64)
+    shingle = np.concatenate(list(sets.values()))
+    owner = np.repeat(np.arange(len(k)), 3)
+    order = np.argsort(shingle, kind="stable")
+    cuts = np.array([0, 1 << 44, 1 << 56], dtype=np.uint64)
+    rows = list(jaccard._fragment_rows(k, size, shingle[order], owner[order], np.zeros(0, np.uint64), cuts, 0, 2, 2))
+    back = [r for r in rows if r[0] >= 2]
+    entries = sum(len(jaccard.unpack_arrays(b, 5)[2]) for _, b in back)
+    assert entries == 2 * len(k) and all((jaccard.unpack_arrays(b, 5)[4] == heavy).all() for _, b in back)
+    for f, name in ((0, 7 << 40), (1, 9 << 45)):
+        raws = [b for g, b in rows if g == f]
+        assert len(raws) == 1 and jaccard._merged(raws)[4].tolist() == [name]
+    assert len(jaccard._merged([b for f, b in rows if f == 0])[2]) == len(k)
+
+
+def test_jaccard_of_a_passage_that_most_texts_share(spark):
+    from test_queries import brute_components
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choice(words) for _ in range(6))
+    rows = [(i, f"{passage} " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + f" {words[i]}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = jaccard.near_duplicates(df, n=4, t=(85, 100))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 4, 85, 100)
