@@ -7,16 +7,19 @@ look like that). Patterns then go back to the documents by rank: pieces of one l
 an interval table says in which sequence, and where, number r of that length lies.
 
 Edge cases: null and empty texts are one piece that holds the end id only; a very long text is cut into full
-sequences and a rest; repeated rows are packed each; pieces of equal length are ordered by (doc_id, start, crc); an empty
-table gives no pieces.
+sequences and a rest; repeated rows are packed each; a null doc_id stays null; pieces of equal length are ordered by
+(doc_id, start, crc), within buckets where they are many; an empty table gives no pieces; other columns, whatever their
+names, are left out of the pieces.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,11 @@ from pyspark.sql import types as T
 
 from .common import map_texts, persist_shared, texts_of
 
-#: Characters up to here are letters, digits or signs that normalisation leaves as they are but for their case.
-PLAIN = 0x24F
-#: How the vocabulary's pre-tokenizer cuts a chunk without white space, for plain characters.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w]|_)+")
-ODD = re.compile(f"[^\x00-{chr(PLAIN)}]|[\x1c-\x1f\x85\xa0İ]")
-CACHE = 300_000
+#: How the vocabulary's pre-tokenizer cuts plain text, that is lower-cased characters up to U+024F without some
+#: that it or the lower case treats in other ways.
+CUT = re.compile(r"[a-zªµºÀ-ÖØ-öø-ʯⱥⱦ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^a-z0-9\sªµºÀ-ÖØ-öø-ʯⱥⱦ²³¹¼½¾]+")
+ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
+CACHE = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,7 +46,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """The word tokenizer of a tokenizers file, with bounded caches of chunks and words.
+    """The word tokenizer of a tokenizers file, with a bounded cache of words and of words with their signs.
 
     Words of plain characters go straight to the merges; a text with others, or with the content of an added token,
     goes through the whole tokenizer.
@@ -60,34 +62,35 @@ class WordTokenizer:
         self.model = self.whole.model
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+
+    def _kept(self, key: str, ids: bytes) -> bytes:
+        if len(self.words) >= CACHE:
+            # the older half goes: entries come in order of their first use
+            for old in list(islice(self.words, CACHE // 2)):
+                del self.words[old]
+        self.words[key] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            if word.isascii() and not word.isprintable():
-                text = "".join(map(self.letters.__getitem__, word.encode()))
-            got = np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = got
-        return got
+        plain = word.isascii() and word.isprintable()
+        ids = [t.id for t in self.model.tokenize(word if plain else "".join(map(self.letters.__getitem__, word.encode())))]
+        return self._kept(word, struct.pack(f"<{len(ids)}I", *ids))
 
     def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self._word, CUT.findall(chunk.lower())))
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        if len(chunk) < 64:
-            self.chunks[chunk] = got
-        return got
+        """A stretch without white space: a word, or words and signs."""
+        parts = CUT.findall(chunk)
+        if len(parts) == 1:
+            return self._word(chunk)
+        get, make = self.words.get, self._word
+        ids = b"".join([get(w) or make(w) for w in parts])
+        return self._kept(chunk, ids) if len(chunk) < 64 else ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if ODD.search(text) or (self.added and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        get, make = self.chunks.get, self._chunk
-        return b"".join([got if (got := get(c)) is not None else make(c) for c in text.split()])
+        get, make = self.words.get, self._chunk
+        return b"".join([get(c) or make(c) for c in text.lower().split()])
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -191,13 +194,20 @@ def intervals(patterns: list[tuple[tuple, int]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def pack(pieces: DataFrame, *, max_tokens: int = 4096, buckets: int = 256) -> DataFrame:
+#: Pieces of one length that a task ranks at a time, about.
+BUCKET_ROWS = 500_000
+
+
+def pack(pieces: DataFrame, *, max_tokens: int = 4096, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """pieces with sequence_id and offset; sequence ids and the offsets in a sequence have no gaps."""
     spark = pieces.sparkSession
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # max_tokens rows at most
     places = spark.sparkContext.broadcast(intervals(shortest_pack_first({r.length: r.n for r in counts}, max_tokens)))
-    # ranks without gaps within a length: ranked in hash buckets, shifted by the buckets before
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    # ranks without gaps within a length: ranked in hash buckets, as many as its pieces ask for, shifted by the buckets before;
+    # equal rows are dealt by a number of their own, so a document that is repeated without end doesn't fill one bucket
+    buckets = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.length, -(-r.n // bucket_rows))]), F.col("length")) if counts else F.lit(1)
+    salted = F.when(buckets > 1, F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())).otherwise(0)
+    keyed = pieces.withColumn("_b", F.pmod(salted, buckets.cast("bigint")))
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32")) - 1
     sizes = keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
