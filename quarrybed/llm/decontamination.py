@@ -1,21 +1,24 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each task cuts its documents into shards of a few MB and builds a word-level suffix array per shard (prefix
-doubling in numpy). Test suffixes are then binary-searched in every shard: the matching range gives all
-occurrences of a window, the neighbours of the insertion point the longest verbatim match and its place.
+doubling in numpy). Every test suffix is binary-searched in every shard. Its place in the array tells, for the training
+suffixes around it, the longest verbatim match and where it is; the range of training suffixes that start with a whole
+window gives all occurrences of that window. Windows that several items share are searched once.
 The array is sparse: only positions whose word some test text holds can start a match, and any other word
 ends a suffix, so nothing that could match is left out.
 
-The training text is never shuffled. The test set is broadcast in blocks of at most BLOCK_BYTES of text; a
-larger test set takes one scan per block and the hit spans are merged per document.
+The training text is never shuffled. The test set is broadcast in blocks of at most BLOCK_BYTES of text, read one at a
+time; with several blocks the documents pass through one scan after the other, which adds its hits to those before.
 
 Edge cases: null and empty texts have no words (n_words 0, no hits); repeated rows each get their own result; an
-item without words has no windows; an item shorter than the window is one window; an empty test set hits nothing;
-input columns named like an output are replaced by it, and filters return rows as they were.
+item without words has no windows; an item shorter than the window is one window; an empty test set hits nothing; very
+long texts are a shard of their own, and what a shard needs grows with its words, however many items share its windows;
+input columns named like an output are replaced by it, and filters return rows as they were, maps and nested columns too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, map_texts, restored, sheltered, texts_of, without
+from .common import extended, map_texts, persist_shared, restored, sheltered, texts_of, without
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
@@ -65,8 +68,29 @@ class TestSet:
         self.left = np.concatenate([np.arange(n, 0, -1) for _, n in starts]) if starts else np.zeros(0, int)
         lengths = np.array([n for _, n in starts], dtype=np.int64)
         full = np.minimum(lengths[self.item], window) if starts else np.zeros(0, int)
-        self.is_window = self.left >= full
-        self.full = full
+        self._windows(full)
+        self.first = np.array([at for at, _ in starts], dtype=np.int64)
+        # the test suffixes in order
+        self.order = Shard(self.ids, self).sa if len(self.ids) else np.zeros(0, dtype=np.int64)
+        self.item_at = np.full(len(self.ids), -1, dtype=np.int64)
+        self.item_at[self.suffix] = self.item
+
+    def _windows(self, full: np.ndarray) -> None:
+        """The distinct windows: where one of each starts, its length, and the items that hold it."""
+        found: dict[bytes, int] = {}
+        start, length, items = [], [], []
+        for i in np.flatnonzero(self.left >= full).tolist():
+            at, n = int(self.suffix[i]), int(full[i])
+            key = self.ids[at : at + n].tobytes()
+            w = found.setdefault(key, len(found))
+            if w == len(start):
+                start.append(at)
+                length.append(n)
+                items.append([])
+            if not items[w] or items[w][-1] != self.item[i]:
+                items[w].append(int(self.item[i]))
+        self.window_start, self.window_length = np.array(start, dtype=np.int64), np.array(length, dtype=np.int64)
+        self.window_items = items
 
 
 def packed(ids: np.ndarray, bits: int, k: int) -> np.ndarray:
@@ -152,6 +176,57 @@ class Shard:
             live = live[(lo[live] < hi[live]) & (length[live] > depth)]
         return lo, hi
 
+    def insertion(self, test: TestSet) -> np.ndarray:
+        """How many training suffixes come before each test suffix, in the order of these."""
+        n = len(test.order)
+        out, lo, hi = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, len(self.sa), dtype=np.int64)
+        depth, live, every = 0, np.arange(n), np.int64(-1)
+        while len(live):
+            key = test.keys[test.order[live] + depth]
+            mask = np.full(len(live), every)
+            a = self._bound(lo[live], hi[live], depth, key, mask, False)
+            b = self._bound(a, hi[live], depth, key, mask, True)
+            out[live], lo[live], hi[live] = a, a, b
+            goes_on = (key & ((1 << self.bits) - 1)) > 0
+            live = live[(a < b) & goes_on]
+            depth += self.k
+            live = live[test.order[live] + depth < len(test.keys)]
+        return out
+
+    def common(self, test: TestSet, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Words that the training suffixes at `mine` and the test suffixes at `theirs` have in common."""
+        out, live, depth = np.zeros(len(mine), dtype=np.int64), np.arange(len(mine)), 0
+        field = (1 << self.bits) - 1
+        while len(live):
+            x, y = mine[live] + depth, theirs[live] + depth
+            a = np.where(x < len(self.keys), self.keys[np.minimum(x, len(self.keys) - 1)], 0)
+            b = np.where(y < len(test.keys), test.keys[np.minimum(y, len(test.keys) - 1)], 0)
+            diff, still, shared = a ^ b, np.ones(len(live), dtype=bool), np.zeros(len(live), dtype=np.int64)
+            for j in range(self.k):
+                shift = (self.k - 1 - j) * self.bits
+                still &= (((diff >> shift) & field) == 0) & (((a >> shift) & field) > 0)
+                shared += still
+            out[live] += shared
+            depth += self.k
+            live = live[still]
+        return out
+
+    def nearest(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
+        """For each training suffix, in the array's order, the words of its longest match with any test suffix and where
+        that starts: the best match of a suffix is one of its two neighbours among the test suffixes."""
+        n = len(self.sa)
+        best, place = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        if not n or not len(test.order):
+            return best, place
+        after = np.searchsorted(self.insertion(test), np.arange(n), side="right")
+        for neighbour in (after - 1, after):
+            ok = np.flatnonzero((neighbour >= 0) & (neighbour < len(test.order)))
+            theirs = test.order[neighbour[ok]]
+            length = self.common(test, self.sa[ok], theirs)
+            more = length > best[ok]
+            best[ok[more]], place[ok[more]] = length[more], theirs[more]
+        return best, place
+
     def longest(self, test: TestSet):
         """(length, place) of the longest verbatim match of every test suffix in this shard."""
         n = len(test.suffix)
@@ -200,22 +275,22 @@ def _shard_ids(texts: list[bytes | None], test: TestSet) -> tuple[np.ndarray, np
 
 
 def _scan_texts(texts: list[bytes | None], test: TestSet):
-    """Per document: words, merged hit spans [start, end), and indexes of the items hit."""
+    """Per document: words, merged hit spans [start, end), the items hit, and its longest match."""
     ids, ends = _shard_ids(texts, test)
     begins = np.concatenate([[0], ends[:-1] + 1])
     spans: list[list[dict]] = [[] for _ in texts]
     items: list[list[str]] = [[] for _ in texts]
+    longest: list[dict | None] = [None] * len(texts)
     shard = Shard(ids, test)
-    use = np.flatnonzero(test.is_window)
-    if len(use) and len(shard.sa):
-        lo, hi = shard.ranges(test, test.suffix[use], test.full[use])
+    if len(test.window_start) and len(shard.sa):
+        lo, hi = shard.ranges(test, test.window_start, test.window_length)
         found = np.flatnonzero(lo < hi)
         count = (hi - lo)[found]
         if len(found):
+            # a place starts one window of each length at most
             offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             pos = shard.sa[np.repeat(lo[found], count) + offset]
-            width = np.repeat(test.full[use][found], count)
-            item = np.repeat(test.item[use][found], count)
+            width = np.repeat(test.window_length[found], count)
             doc = np.searchsorted(ends, pos)
             edge = np.zeros(len(ids) + 1, dtype=np.int64)
             np.add.at(edge, pos, 1)
@@ -225,23 +300,57 @@ def _scan_texts(texts: list[bytes | None], test: TestSet):
             for d, a, b in zip(np.searchsorted(ends, ups).tolist(), ups.tolist(), downs.tolist(), strict=True):
                 base = int(begins[d])
                 spans[d].append({"start": a - base, "end": b - base})
-            for code in np.unique(doc * len(test.names) + item).tolist():
-                items[code // len(test.names)].append(test.names[code % len(test.names)])
-    return (ends - begins).tolist(), spans, items
-
-
-def test_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """The test items in blocks of bounded size."""
+            held: dict[int, set[int]] = {}
+            pairs = np.unique(doc * np.int64(len(test.window_start)) + np.repeat(found, count))
+            for d, w in zip((pairs // len(test.window_start)).tolist(), (pairs % len(test.window_start)).tolist(), strict=True):
+                held.setdefault(d, set()).update(test.window_items[w])
+            for d, codes in held.items():
+                items[d] = [test.names[c] for c in sorted(codes)]
+        _longest_of(shard, test, begins, ends, longest)
+    return (ends - begins).tolist(), spans, items, longest
+
+
+def _longest_of(shard: Shard, test: TestSet, begins: np.ndarray, ends: np.ndarray, out: list) -> None:
+    """Each document's longest match; of equal ones the first."""
+    length, place = shard.nearest(test)
+    doc = np.searchsorted(ends, shard.sa)
+    order = np.lexsort((shard.sa, -length, doc))
+    first = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])] if len(order) else order
+    for r in first[length[first] > 0].tolist():
+        d, at = int(doc[r]), int(place[r])
+        item = int(test.item_at[at])
+        out[d] = {"words": int(length[r]), "item_id": test.names[item], "item_pos": at - int(test.first[item]), "doc_pos": int(shard.sa[r] - begins[d])}
+
+
+def test_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
+    """The test items in blocks of bounded size, one at a time."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     n = -(-size // block_bytes) or 1
     part = lambda b: rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-    return [[(r.i, r.t.encode() if r.t is not None else None) for r in part(b).collect()] for b in range(n)]
+    for b in range(n):
+        yield [(r.i, r.t.encode() if r.t is not None else None) for r in part(b).collect()]
 
 
 test_blocks.__test__ = False
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
+LONGEST = "struct<words:bigint,item_id:string,item_pos:bigint,doc_pos:bigint>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+LONGEST_TYPE = pa.struct([("words", pa.int64()), ("item_id", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64())])
+#: Scans that follow each other without the rows being written in between.
+SCANS = 4
+
+
+def joined_spans(spans: list[dict]) -> list[dict]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if out and out[-1]["end"] >= s["start"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
 
 
 def find_contamination(
@@ -254,41 +363,33 @@ def find_contamination(
     window: int = 13,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """docs with n_words, n_hit, hit_spans (merged word ranges) and hit_items (sorted item ids)."""
+    """docs with n_words, n_hit, hit_spans (merged word ranges), hit_items (sorted item ids) and longest: the words of the
+    longest verbatim match with any item, that item, and where it starts in both (null without a common word)."""
     spark = docs.sparkSession
-    docs = without(docs, "n_words", "n_hit", "hit_spans", "hit_items")
-    blocks = test_blocks(benchmark, item_id, item_text, block_bytes)
-    schema = extended(docs.schema, ("n_words", "bigint"), ("hit_spans", SPANS), ("hit_items", "array<string>"))
+    docs = without(docs, "n_words", "n_hit", "hit_spans", "hit_items", "longest")
+    width = len(docs.columns)
+    schema = extended(docs.schema, ("n_words", "bigint"), ("hit_spans", SPANS), ("hit_items", "array<string>"), ("longest", LONGEST))
 
-    def scan(items):
+    def scan(rows: DataFrame, items, first: bool) -> DataFrame:
         held = spark.sparkContext.broadcast(TestSet(items, window))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, spans, names = _scan_texts(texts_of(batch, text), held.value)
-            struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), pa.array(spans, struct), pa.array(names, pa.list_(pa.string()))],
-                names=schema.names,
-            )
-
-        return map_texts(docs, text, schema, work, SHARD_BYTES)
-
-    if len(blocks) == 1:
-        out = scan(blocks[0])
-    else:
-        # each block saw every document once; rows that are equal in all columns share their result
-        keys = docs.columns
-        union = None
-        for b in blocks:
-            one = scan(b).withColumn("_copy", F.lit(1))
-            union = one if union is None else union.unionByName(one)
-        out = union.groupBy(*keys, "n_words").agg(
-            F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
-            F.flatten(F.collect_list("hit_items")).alias("hit_items"),
-            F.sum("_copy").alias("_copies"),
-        )
-        out = out.withColumn("_copies", F.expr(f"explode(sequence(1, cast(_copies / {len(blocks)} as int)))")).drop("_copies")
-        out = out.withColumn("hit_spans", merged_spans("hit_spans"))
+            n, spans, names, longest = _scan_texts(texts_of(batch, text), held.value)
+            if not first:
+                before = [batch.column(width + i).to_pylist() for i in (1, 2, 3)]
+                spans = [joined_spans([*x, *y]) if x and y else x or y for x, y in zip(before[0], spans, strict=True)]
+                names = [sorted({*x, *y}) for x, y in zip(before[1], names, strict=True)]
+                longest = [y if x is None or (y is not None and y["words"] > x["words"]) else x for x, y in zip(before[2], longest, strict=True)]
+            cols = [pa.array(n, pa.int64()), pa.array(spans, SPAN_TYPE), pa.array(names, pa.list_(pa.string())), pa.array(longest, LONGEST_TYPE)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=schema.names)
+
+        return map_texts(rows, text, schema, work, SHARD_BYTES)
+
+    out = docs
+    for i, items in enumerate(test_blocks(benchmark, item_id, item_text, block_bytes)):
+        if i and i % SCANS == 0:
+            out = persist_shared(out, "scanned")
+        out = scan(out, items, i == 0)
     return out.withColumns(
         {
             "n_hit": F.expr("aggregate(hit_spans, 0L, (s, x) -> s + x.end - x.start)"),
@@ -297,15 +398,6 @@ def find_contamination(
     )
 
 
-def merged_spans(col: str):
-    """Overlapping spans joined; spans come from several blocks and are few per document."""
-    return F.expr(
-        f"""aggregate(array_sort({col}), cast(array() as {SPANS}), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start,
-            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
-            concat(a, array(x))))"""
-    )
-
-
 def with_verdict(found: DataFrame, ratio: int = 20) -> DataFrame:
     """contaminated: some word is hit and at least one in `ratio` words is."""
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))

@@ -163,6 +163,8 @@ def class_table(docs: DataFrame, n: int, *, doc_id: str = "doc_id", text: str =
     named, turn = first.withColumn("key", F.col("k")), 0
     while True:
         shared = named.groupBy("key").agg(F.min("k2").alias("_a"), F.max("k2").alias("_b")).where("_a <> _b")
+        if not turn and shared.isEmpty():
+            return first.drop("k2"), keys
         # of the sets under one key the one with the smallest second hash keeps it
         other = named.join(shared.select(F.col("key").alias("_k"), "_a"), F.col("key") == F.col("_k")).where("k2 <> _a").select("k", "k2").distinct()
         found = other.limit(REKEYED + 1).collect()

@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its subwords: the byte 2- to 4-grams of its lower-cased words with their
 edges, hashed to BUCKETS. Embeddings and softmax are trained together by stochastic gradient descent in numpy, on a
-sample of SAMPLE documents at most, drawn by hash and spread over the languages; only their bucket counts reach the
-driver. As both layers are linear, scoring looks up one row of class logits per subword. A temperature and a
+sample of SAMPLE documents at most (one a language at least), drawn by hash and spread over all languages; only their
+bucket counts reach the driver. As both layers are linear, scoring looks up one row of class logits per subword. A temperature and a
 rejection threshold are calibrated on sample rows that training did not see.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; without a labelled document all are `und`;
@@ -27,7 +27,8 @@ from .quality import held_out
 
 BUCKETS = 1 << 15
 SAMPLE = 4096
-LANGUAGES = 256
+#: Languages the model has room for: a row of logits a bucket for each. More are an error, none is left out.
+LANGUAGES = 4096
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -146,15 +147,22 @@ def calibrated(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], labels:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """The model of a sample of the documents outside the held-out fold; None without any."""
     usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = usable.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.pmod("key", F.lit(1 << 30))).alias("least")).limit(LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(r.lang for r in counts)
     each = max(1, sample // len(languages))
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r["count"])) for r in counts], "_lang string, _share double")
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where(draw < F.col("_share"))
-    rows = rows.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # a draw below the language's share; its smallest draw of all is always in
+    share = docs.sparkSession.createDataFrame([(r.lang, max(int(each / r.n * (1 << 30)), r.least + 1)) for r in counts], "_lang string, _below bigint")
+    draw = F.pmod("key", F.lit(1 << 30))
+    rows = usable.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(draw < F.col("_below")).select("key", "lang", "text")
+    drawn = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if sum(r.n for r in drawn) > max(sample, len(languages)) * 1.5:
+        # repeated rows are drawn together: of equal ones one is enough
+        rows = rows.dropDuplicates(["key", "lang"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bags = [np.unique(subwords(t), return_counts=True) for t in texts_of(batch, "text")]

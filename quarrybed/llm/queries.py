@@ -27,6 +27,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.when(F.col("longest.words") >= 13, F.col("longest.words")).otherwise(0).alias("longest_words"),
     )
 
 
@@ -105,11 +106,14 @@ dw AS (
   SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
   FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)),
 m AS (SELECT rid, dw.n, p, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+bq AS (SELECT item, q, array_to_string(w[q:q + 12], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - 11)) AS q FROM b WHERE len(w) >= 13)),
+chain AS (SELECT rid, item, p - q AS d, p - row_number() OVER (PARTITION BY rid, item, p - q ORDER BY p) AS r FROM dw JOIN bq ON dw.n = 13 AND dw.g = bq.g),
+long AS (SELECT rid, max(c) + 12 AS longest_words FROM (SELECT rid, count(*) AS c FROM chain GROUP BY rid, item, d, r) GROUP BY rid),
 hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM m)) GROUP BY rid),
 it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_words, 0) AS longest_words
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid) LEFT JOIN long USING (rid)
 """,
     "op4_quality_rules": r"""
 WITH d AS (

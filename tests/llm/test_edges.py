@@ -339,3 +339,53 @@ def test_jaccard_of_a_passage_that_most_texts_share(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     got = jaccard.near_duplicates(df, n=4, t=(85, 100))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 4, 85, 100)
+
+
+def test_longest_match_of_each_document_against_brute_force(spark):
+    rng = random.Random(14)
+    words = "ab c d e".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(40)] + ["zzz", ""]
+    items = [(f"i{i}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))) for i in range(8)]
+    docs = spark.createDataFrame([(i, t, {"k": i}) for i, t in enumerate(texts)], "doc_id bigint, text string, m map<string,int>")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (1 << 20, 60):
+        got = {r.doc_id: r for r in decontamination.find_contamination(docs, bench, window=5, block_bytes=block).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            w, best = t.split(), 0
+            covered, hit = set(), set()
+            for name, text in items:
+                v = text.split()
+                k = min(5, len(v))
+                for p in range(len(w)):
+                    for q in range(len(v)):
+                        n = 0
+                        while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                            n += 1
+                        best = max(best, n)
+                        if n >= k and q + k <= len(v):
+                            covered |= set(range(p, p + k))
+                            hit.add(name)
+            x = got[i].longest
+            assert (x.words if x else 0) == best and got[i].n_hit == len(covered) and got[i].hit_items == sorted(hit)
+            if x:
+                item = dict(items)[x.item_id].split()
+                assert w[x.doc_pos : x.doc_pos + best] == item[x.item_pos : x.item_pos + best]
+
+
+def test_items_that_share_their_windows_are_searched_once():
+    items = [(f"i{i:03d}", b"same words") for i in range(400)] + [("other", b"same words and more")]
+    test = decontamination.TestSet(items, 13)
+    assert len(test.window_start) == 2
+    n, spans, names, longest = decontamination._scan_texts([b"same words " * 20_000, None, b"x same words and more"], test)
+    assert n == [40_000, 0, 5] and spans[0] == [{"start": 0, "end": 40_000}] and len(names[0]) == 400 and longest[0]["words"] == 2
+    assert names[2] == [*sorted(i for i, _ in items)] and longest[2] == {"words": 4, "item_id": "other", "item_pos": 0, "doc_pos": 1} and longest[1] is None
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 30, f"l{i % 300:03d}", 7, 7.0) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _lang int, _share double")
+    model = language.fit(docs, sample=600)
+    assert len(model.languages) == 300
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs.withColumn("lang", F.concat("lang", F.col("doc_id").cast("string"))).crossJoin(spark.range(3)).withColumn("lang", F.concat("lang", F.col("id").cast("string"))), sample=10)
