@@ -15,8 +15,9 @@ Mark-up supports the template: where it would take more than half of an article'
 copies rather than a template filled in, and the article stays whole.
 
 Edge cases: null and empty html give an empty text; null urls share one host; hosts with fewer than three distinct pages have no
-template, only mark-up decides; unclosed tags end with their container; repeated rows are extracted each; an empty
-table gives an empty result; an input column named text is replaced.
+template, only mark-up decides; unclosed tags end with their container, a tag that its quotes leave open ends at its first
+`>`, and a `<` behind which none comes is text; very long and very deep pages take time and memory in proportion to their
+length; repeated rows are extracted each; an empty table gives an empty result; an input column named text is replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ from pyspark.sql import types as T
 
 from .common import extended, map_texts, persist_shared, texts_of, without
 
-#: A comment, a declaration, or a tag with its attributes.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: How a tag starts, and what may end it or hide its end.
+OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+CLOSES = re.compile("[>\"']")
+#: A tag whose quotes leave it open for longer than this ends at its first `>`.
+LONGEST_TAG = 1 << 16
 NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|type|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Fixed values of HTML: elements whose content is not mark-up, elements without content, and block elements.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -62,18 +66,30 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 CLOSES_P = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote address hr li".split())
 
 
+def hashed(*parts: int | str) -> int:
+    """A 63-bit name."""
+    raw = b"\0".join(p.to_bytes(8, "little") if isinstance(p, int) else p.encode(errors="replace") for p in parts)
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 1
+
+
 class Page:
-    """Text blocks of a page: (container path, text, in an article, unwanted), and its tokens in page order."""
+    """Text blocks of a page: (container path, text, in an article, unwanted), and its tokens in page order.
+
+    A path is the hash of the path above and the container's own name, so deep pages cost no more than flat ones; every
+    step of reading goes on in the page, so time grows with its length.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.order: list[tuple[str, str | None]] = [("", None)]  # container path, text of a block
-        self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, in article, unwanted
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.order: list[tuple[int, str | None]] = [(0, None)]  # container path, text of a block
+        self._stack: list[tuple[str, int, bool, bool]] = []  # name, path, in article, unwanted
+        self._open_names: Counter = Counter()
         self._held: list[str] = []
+        self._gone: set[str] = set()  # quotes that don't occur any more
         self._read(html)
 
     def _top(self):
-        return self._stack[-1] if self._stack else ("", "", False, False)
+        return self._stack[-1] if self._stack else ("", 0, False, False)
 
     def _flush(self) -> None:
         text = " ".join(unescape("".join(self._held)).split())
@@ -94,49 +110,66 @@ class Page:
         own = name in SKIPPED or hidden or (name == "header" and not article)
         if label and name not in ("html", "body"):
             own = own or bool(UNWANTED.search(label)) or (not article and bool(PAGE_HEAD.search(label)))
-        path = f"{path}/{name}.{label}" if label else f"{path}/{name}"
+        path = hashed(path, f"{name}.{label}" if label else name)
         self.order.append((path, None))
         self._stack.append((name, path, article or name in ARTICLE, bad or own))
+        self._open_names[name] += 1
 
     def _close(self, name: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                del self._stack[i:]
+        while self._open_names[name]:
+            top = self._stack.pop()[0]
+            self._open_names[top] -= 1
+            if top == name:
                 return
 
+    def _next_tag(self, html: str, at: int):
+        """(start, end, closing, name, attributes) of the next tag, comment or declaration from `at` on, whose name is empty
+        for the last two; None where none ends any more."""
+        m = OPENS.search(html, at)
+        if m is None:
+            return None
+        start, i = m.start(), m.end()
+        if html.startswith("<!--", start):
+            end = html.find("-->", i)
+            return start, len(html) if end < 0 else end + 3, "", "", ""
+        first = html.find(">", i)
+        if first < 0:
+            return None
+        end = first
+        if m[2]:
+            while (c := CLOSES.search(html, i, start + LONGEST_TAG)) is not None and c[0] != ">":
+                close = -1 if c[0] in self._gone else html.find(c[0], c.end())
+                if close < 0:
+                    self._gone.add(c[0])
+                i = c.end() if close < 0 else close + 1
+            end = c.start() if c is not None else first
+        return start, end + 1, m[1] or "", (m[2] or "").lower(), html[m.end() : end] if m[2] else ""
+
     def _read(self, html: str) -> None:
-        at, n = 0, len(html)
-        while at < n:
-            m = TAG.search(html, at)
-            if m is None:
-                self._held.append(html[at:])
-                break
-            if m.start() > at:
-                self._held.append(html[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
-            if name in INLINE:
+        at = 0
+        while (tag := self._next_tag(html, at)) is not None:
+            start, end, closing, name, attrs = tag
+            if start > at:
+                self._held.append(html[at:start])
+            at = end
+            if not name or name in INLINE:
                 continue
             self._flush()
-            if m[1]:
+            if closing:
                 if name in CONTAINERS:
                     self._close(name)
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
-                continue
-            if name in CONTAINERS and not m[3].rstrip().endswith("/"):
-                self._open(name, m[3])
+            elif name in RAW:
+                done = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                at = done.end() if done else len(html)
+            elif name in CONTAINERS and not attrs.rstrip().endswith("/"):
+                self._open(name, attrs)
+        self._held.append(html[at:])
         self._flush()
 
 
-def token(path: str, text: str | None = None) -> int:
-    """A 63-bit name of a structural token or of a text block at its place."""
-    raw = path if text is None else f"{path}\x00{text}"
-    return int.from_bytes(hashlib.blake2b(raw.encode(errors="replace"), digest_size=8).digest(), "little") >> 1
+def token(path: int, text: str | None = None) -> int:
+    """The name of a structural token or of a text block at its place."""
+    return path if text is None else hashed(path, text)
 
 
 def page_tokens(page: Page) -> list[int]:

@@ -1,15 +1,18 @@
 """WARC archives: a writer with duplicate detection and a splittable reader.
 
-Writing: equal payloads are found by digest (pre-aggregated to one winner a digest), a task streams its rows as one
-gzip member a record to a temporary file in the shared folder and renames it at the end, so a repeated task replaces
-its file as a whole. Reading: tasks get byte ranges. A task looks for the gzip magic in its range, takes a candidate for a
-member only if it inflates to a WARC header, and owns the records that start inside; it reads on past its end to
+Writing: equal payloads are found by digest (pre-aggregated to one winner for each digest that occurs twice), a task
+streams its rows as one gzip member a record to a temporary file in the shared folder and renames it at the end, so a
+repeated task replaces its file as a whole. Payloads are not shuffled where the table of repeated digests can be broadcast;
+beyond BROADCAST_DIGESTS they are joined under salts, so a page that a host serves without end is split. Reading: byte
+ranges are made by executors from the table of files. A task looks for the gzip magic in its range, takes a candidate for
+a member only if it inflates to a WARC header, and owns the records that start inside; it reads on past its end to
 finish the last one.
 
 Edge cases: null html is an empty payload, null urls and page ids leave their header out and come back as null;
 rows with the page_id and payload of the response are responses too; payloads under `least` bytes are never
 revisits; an empty table writes no archive and reads as no rows; magic bytes inside compressed data are refused by
-the header check.
+the header check; a very long payload is held in memory once compressed and once as it is, in time that grows with its
+length; other columns of the pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import persist_shared, scratch_path, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PROBE = 1 << 16
+SALTS = 64
+#: Digests that occur more than once, of 64 bytes each, up to which they are broadcast.
+BROADCAST_DIGESTS = 400_000
 
 
 def _fs(uri: str):
@@ -40,9 +46,18 @@ def with_record_types(pages: DataFrame, *, least: int = 1000) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type and refers_to of each page."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha1("payload"))
-    winners = rows.where(F.octet_length("payload") >= least).groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("page_id").alias("_winner"))
-    joined = rows.join(winners, F.col("payload_digest") == F.col("_digest"), "left")
+    rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    long = F.octet_length("payload") >= least
+    used = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_salt"))).alias("_bits")
+    seen = rows.where(long).groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("page_id").alias("_winner"), F.count(F.lit(1)).alias("_n"), used)
+    winners = persist_shared(seen.where("_n > 1 and _winner is not null").select("_digest", "_winner", "_bits"), "digests")
+    if winners.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(winners), long & (F.col("payload_digest") == F.col("_digest")), "left")
+    else:
+        each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0))
+        spread = winners.select("_digest", "_winner", each.alias("_z"))
+        found = rows.where(long).join(spread, (F.col("payload_digest") == F.col("_digest")) & (F.col("_salt") == F.col("_z")), "left").select(*rows.columns, "_winner")
+        joined = found.unionByName(rows.where(~long), allowMissingColumns=True)
     again = F.col("_winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_winner"))
     return joined.select(
         "page_id", "url", "payload", "payload_digest",
@@ -78,8 +93,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     return z.compress(raw) + z.flush()
 
 
-def write_archives(rows: DataFrame, folder: str) -> list[tuple[str, int, int]]:
-    """Write the rows of with_record_types(); (path, bytes, records) of each archive, one a partition."""
+FILES = "path string, bytes bigint, records bigint"
+
+
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """Write the rows of with_record_types(); path, bytes and records of each archive, one a partition with rows."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -103,7 +121,7 @@ def write_archives(rows: DataFrame, folder: str) -> list[tuple[str, int, int]]:
 
     small_batches(rows.sparkSession)
     cols = rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    return [(r.path, r.bytes, r.records) for r in cols.mapInArrow(work, "path string, bytes bigint, records bigint").collect() if r.records]
+    return persist_shared(cols.mapInArrow(work, FILES), "archives").where("records > 0")
 
 
 class _Range:
@@ -111,10 +129,15 @@ class _Range:
 
     def __init__(self, file, start: int, size: int, step: int = 1 << 20):
         self.file, self.size, self.step = file, size, step
-        self.base, self.data = start, b""
+        self.base, self.data = start, bytearray()
 
     def drop_before(self, at: int) -> None:
-        self.data, self.base = self.data[at - self.base :], at
+        """Forget what lies before `at`; what was dropped once is read again."""
+        if self.base <= at <= self.base + len(self.data):
+            del self.data[: at - self.base]
+        else:
+            self.data.clear()
+        self.base = at
 
     def upto(self, end: int) -> None:
         end = min(end, self.size)
@@ -139,24 +162,29 @@ class _Range:
 
     def member(self, at: int) -> tuple[bytes, int] | None:
         """The inflated member at `at` and where it ends; None unless it is a WARC record."""
-        z, out, pos, known = zlib.decompressobj(31), [], at, False
+        z, out, pos, known = zlib.decompressobj(31), bytearray(), at, False
         try:
             while not z.eof:
                 self.upto(pos + PROBE)
-                chunk = self.data[pos - self.base : pos - self.base + PROBE]
+                chunk = bytes(self.data[pos - self.base : pos - self.base + PROBE])
                 if not chunk:
-                    return None
-                out.append(z.decompress(chunk))
+                    break
+                out += z.decompress(chunk)
                 pos += len(chunk)
-                if not known:
-                    head = b"".join(out)[:5]
-                    if len(head) == 5 or z.eof:
-                        if head != b"WARC/":
-                            return None
-                        known = True
+                if not known and (len(out) >= 5 or z.eof):
+                    if out[:5] != b"WARC/":
+                        break
+                    known = True
+                if known:
+                    self.drop_before(pos)
         except zlib.error:
+            known = False
+        if not known or not z.eof:
+            self.drop_before(at)
             return None
-        return b"".join(out), pos - len(z.unused_data)
+        end = pos - len(z.unused_data)
+        self.drop_before(end)
+        return bytes(out), end
 
 
 def parse(raw: bytes) -> dict:
@@ -184,23 +212,24 @@ def records_of(file, start: int, end: int, size: int) -> Iterator[dict]:
             at += 1
             continue
         raw, at = got
-        view.drop_before(min(at, view.base + len(view.data)))
         yield parse(raw)
 
 
 FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def splits(files: list[tuple[str, int]], split_bytes: int) -> list[tuple[str, int, int, int]]:
-    return [(p, a, min(a + split_bytes, n), n) for p, n in files for a in range(0, n, split_bytes)]
+def splits(files: DataFrame, split_bytes: int) -> DataFrame:
+    """path, a, b, n: the byte ranges [a, b) of files of n bytes."""
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint")))
+    return files.where("bytes > 0").select("path", at.alias("a"), F.col("bytes").alias("n")).select("path", "a", F.least(F.col("a") + split_bytes, "n").alias("b"), "n")
 
 
-def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]], *, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, files: DataFrame, *, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
     """The records of the archives (path in the folder's file system, bytes)."""
     fields = FIELDS + (", payload binary" if payloads else "")
     names = [f.split()[0] for f in fields.split(", ")]
-    parts = splits(files, split_bytes)
-    tasks = spark.createDataFrame(parts, "path string, a bigint, b bigint, n bigint").repartition(max(1, min(len(parts), 10_000)))
+    parts = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    tasks = splits(files, split_bytes).repartition(int(min(parts, 20_000)))
 
     def work(batches):
         fs, _ = _fs(folder)
@@ -229,4 +258,4 @@ def round_trip(pages: DataFrame, *, split_bytes: int = 8 << 20, payloads: bool =
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     files = write_archives(with_record_types(pages), folder)
-    return read_archives(spark, folder, [(p, n) for p, n, _ in files], split_bytes=split_bytes, payloads=payloads)
+    return read_archives(spark, folder, files, split_bytes=split_bytes, payloads=payloads)

@@ -389,3 +389,34 @@ def test_every_language_is_learnt(spark):
     assert len(model.languages) == 300
     with pytest.raises(ValueError, match="languages"):
         language.fit(docs.withColumn("lang", F.concat("lang", F.col("doc_id").cast("string"))).crossJoin(spark.range(3)).withColumn("lang", F.concat("lang", F.col("id").cast("string"))), sample=10)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    def took(text):
+        began = time.process_time()
+        page = html.Page(text)
+        return time.process_time() - began, page
+
+    for text in ("<a '" * 100_000, "<a '" * 50_000 + ">" * 50_000, "<a \">" * 100_000, "<div>" * 100_000, "</div><p>x" * 50_000, "<!--" * 100_000, "<" * 300_000, "<div>" * 50_000 + "</section>" * 50_000, "<b '" + "\"'" * 100_000 + ">x"):
+        spent, page = took(text)
+        assert spent < 5, text[:20]
+    assert [b[1] for b in html.Page("<script>if (a<b) x = '</b>'; y = \"'</script><p>one 'two'<style>p>a{'</style><p>three 'four'").blocks] == ["one 'two'", "three 'four'"]
+    assert [b[1] for b in html.Page("<div>one</div><!-- no --><a title='x > y'>two</a><p class=\"a\">three<?php x ?> four<div open 'x>five</div> 1 < 2").blocks] == ["one", "two", "three four", "five", "1 < 2"]
+
+
+def test_warc_of_long_payloads_hot_digests_and_other_columns(spark):
+    rng = random.Random(3)
+    long = "".join(chr(rng.randrange(33, 1000)) for _ in range(700_000))
+    rows = [(i, "u", "e" * 1500) for i in range(40)] + [(100, "u", long), (101, None, long + "x")] + [(200 + i, "u", "short") for i in range(5)]
+    pages = spark.createDataFrame(rows, PAGES).withColumn("payload", F.lit(1)).withColumn("_salt", F.lit(2)).withColumn("digest", F.lit(3))
+    want = sorted((i, len(h.encode()), "revisit" if i < 39 else "response", 39 if i < 39 else None) for i, _, h in rows)
+    before = warc.BROADCAST_DIGESTS
+    try:
+        for warc.BROADCAST_DIGESTS in (before, 0):
+            got = warc.round_trip(pages, split_bytes=100_000, payloads=True).collect()
+            assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+            assert {bytes(r.payload) for r in got if r.page_id == 100} == {long.encode()}
+    finally:
+        warc.BROADCAST_DIGESTS = before
