@@ -150,14 +150,18 @@ FROM p LEFT JOIN w ON p.d = w.d
 """,
     "op8_chat_formatting": r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-l AS (SELECT rid, conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM m),
-s AS (SELECT conv_id, turn, len(regexp_extract(line, '^[ \t]*(>[ \t]?)+', 0)) - len(replace(regexp_extract(line, '^[ \t]*(>[ \t]?)+', 0), '>', '')) AS level,
-       trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(>[ \t]?)+', '')), '\s+', ' ', 'g')) AS said FROM l),
-o AS (SELECT conv_id, said, min(turn) AS origin FROM s WHERE level = 0 AND said <> '' GROUP BY ALL),
-v AS (SELECT s.conv_id, s.turn, o.origin, count(*) AS n, count(*) FILTER (level = 1) AS outer_n
-      FROM s LEFT JOIN o ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.said = o.said AND o.origin < s.turn WHERE level > 0 AND s.said <> '' GROUP BY ALL),
-q AS (SELECT conv_id, turn, sum(n) AS n_quoted, sum(n) FILTER (origin IS NOT NULL) AS n_linked,
-             max({'n': outer_n, 'o': origin}) FILTER (origin IS NOT NULL AND outer_n > 0).o AS quoted_turn FROM v GROUP BY ALL),
+l AS (SELECT rid, conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT rid, conv_id, turn, regexp_split_to_array(text, '\r?\n') AS t FROM m)),
+s AS (SELECT rid, conv_id, turn, i, len(regexp_extract(t[i], '^[ \t]*(>[ \t]?)+', 0)) - len(replace(regexp_extract(t[i], '^[ \t]*(>[ \t]?)+', 0), '>', '')) AS level,
+       trim(regexp_replace(lower(regexp_replace(t[i], '^[ \t]*(>[ \t]?)+', '')), '\s+', ' ', 'g')) AS said FROM l),
+o AS (SELECT rid, conv_id, turn AS origin, ' ' || string_agg(said, ' ' ORDER BY i) || ' ' AS w FROM s WHERE level = 0 AND said <> '' GROUP BY ALL),
+r AS (SELECT *, sum(CASE WHEN said = '' OR level = 0 OR level IS DISTINCT FROM pl OR ps = '' THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM
+      (SELECT *, lag(level) OVER (PARTITION BY rid ORDER BY i) AS pl, lag(said) OVER (PARTITION BY rid ORDER BY i) AS ps FROM s)),
+p AS (SELECT rid, conv_id, turn, level, run, string_agg(said, ' ' ORDER BY i) AS w FROM r WHERE level > 0 AND said <> '' GROUP BY ALL),
+v AS (SELECT p.conv_id, p.turn, level, len(string_split(p.w, ' ')) AS n, (SELECT min(origin) FROM o WHERE o.conv_id IS NOT DISTINCT FROM p.conv_id AND origin < p.turn AND contains(o.w, ' ' || p.w || ' ')) AS origin FROM p),
+vote AS (SELECT conv_id, turn, level, origin, sum(n) AS n FROM v WHERE origin IS NOT NULL GROUP BY ALL),
+best AS (SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1),
+dest AS (SELECT conv_id, turn, CASE WHEN level = 1 THEN origin ELSE coalesce((SELECT max(b.turn) FROM best b WHERE b.conv_id IS NOT DISTINCT FROM best.conv_id AND b.level = 1 AND b.origin = best.origin AND b.turn < best.turn), origin) END AS quoted_turn FROM best),
+q AS (SELECT v.conv_id, v.turn, count(*) AS n_quoted, count(v.origin) AS n_linked, any_value(dest.quoted_turn) AS quoted_turn FROM v LEFT JOIN dest ON dest.conv_id IS NOT DISTINCT FROM v.conv_id AND dest.turn = v.turn GROUP BY ALL),
 node AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m)),
 tree AS (SELECT node.conv_id, node.turn, coalesce(quoted_turn, prev) AS reply_to, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
          FROM node LEFT JOIN q ON node.conv_id IS NOT DISTINCT FROM q.conv_id AND node.turn = q.turn),

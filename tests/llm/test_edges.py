@@ -200,7 +200,8 @@ def test_chat(spark):
     x = got[1, 2, "user"]
     assert (x.text, x.reply_to, x.n_quoted, x.n_linked, x.depth) == ("what?", 0, 1, 1, 1)
     y = got[1, 3, "assistant"]
-    assert (y.text, y.reply_to, y.n_quoted, y.n_linked, y.depth) == ("answer", 2, 3, 2, 2)
+    # two passages: the nested one comes from turn 0 through turn 2, which quotes that; the other is nowhere said as a whole
+    assert (y.text, y.reply_to, y.n_quoted, y.n_linked, y.depth) == ("answer", 2, 2, 1, 2)
     assert got[2, 0, None].text == "" and (got[2, 5, "user"].reply_to, got[2, 5, "user"].text) == (0, "")
     assert out.count() == len(rows)
     for c in (1, 2, 3, None):
@@ -420,3 +421,92 @@ def test_warc_of_long_payloads_hot_digests_and_other_columns(spark):
             assert {bytes(r.payload) for r in got if r.page_id == 100} == {long.encode()}
     finally:
         warc.BROADCAST_DIGESTS = before
+
+
+def brute_replies(rows):
+    """conv, turn -> (reply_to, n_quoted, n_linked, depth), message by message."""
+    import re
+
+    def lines(text):
+        for x in re.split("\r?\n", text or ""):
+            marks = re.match(r"[ \t]*((?:>[ \t]?)*)", x)
+            level = marks[1].count(">")
+            yield level, " ".join((x[marks.end():] if level else x).lower().split())
+
+    says, quotes = {}, {}
+    for conv, turn, _, text in rows:
+        says.setdefault((conv, turn), []).append(" ".join(s for lv, s in lines(text) if lv == 0 and s))
+        run = None
+        for lv, s in lines(text):
+            if lv and s and run and run[0] == lv:
+                run[1] += f" {s}"
+            elif lv and s:
+                run = [lv, s]
+                quotes.setdefault((conv, turn), []).append(run)
+            else:
+                run = None
+    places = {}
+    for conv, turn, *_ in rows:
+        places.setdefault(conv, set()).add(turn)
+    out, direct = {}, {}
+    for conv, turns in places.items():
+        before = None
+        for turn in sorted(turns):
+            votes, linked = {}, 0
+            for lv, s in quotes.get((conv, turn), ()):
+                origin = min((t for t in turns if t < turn and any(f" {s} " in f" {x} " for x in says[conv, t])), default=None)
+                if origin is not None:
+                    linked += 1
+                    votes[lv, origin] = votes.get((lv, origin), 0) + len(s.split())
+            to = before
+            if votes:
+                lv, origin = max(votes, key=lambda k: (-k[0], votes[k], k[1]))
+                if lv == 1:
+                    direct[conv, turn] = to = origin
+                else:
+                    to = max((t for t in turns if t < turn and direct.get((conv, t)) == origin), default=origin)
+            out[conv, turn] = (to, len(quotes.get((conv, turn), ())), linked, 0 if to is None else out[conv, to][3] + 1)
+            before = turn
+    return out
+
+
+def test_quoted_mail_against_brute_force_and_sql(spark):
+    import duckdb
+    from oracle import rows_of, rows_of_sql
+
+    from quarrybed.llm.queries import ORACLE_SQL
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(25)]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randrange(1, 9)):
+            text = []
+            for _ in range(rng.randrange(0, 3) if said else 0):
+                t = rng.choice(said)
+                a = rng.randrange(len(t))
+                piece = t[a : a + rng.randrange(1, 9)]
+                if rng.random() < 0.15:
+                    piece = [*piece, "changed"]
+                level, cut = rng.choice([1, 1, 1, 2, 3]), rng.randrange(1, 5)
+                text += ["> " * level + " ".join(piece[i : i + cut]).upper() for i in range(0, len(piece), cut)] + rng.choice([[], [">"], [""], ["  "]])
+            own = [rng.choice(words) for _ in range(rng.randrange(0, 14))]
+            said.append(own or ["none"])
+            text += [" ".join(own[i : i + 5]) for i in range(0, len(own), 5)]
+            rows.append((conv if conv else None, turn * 2, rng.choice(["user", "assistant"]), rng.choice(["\n", "\r\n"]).join(text) or None))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("n_quoted", F.lit(5)).withColumn("_c", F.lit(1))
+    out = chat.format_conversations(df)
+    want = brute_replies(rows)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_quoted, r.n_linked, r.depth) for r in out.collect()}
+    assert got == want and sum(w[2] for w in want.values()) > 20 and any(w[0] is not None and w[0] < t - 2 for (_, t), w in want.items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert rows_of(out) == rows_of_sql(con, ORACLE_SQL["op8_chat_formatting"])
+
+
+def test_chat_with_null_turns(spark):
+    rows = [(1, None, "a", "x"), (1, 0, "b", "y"), (1, 1, "a", "> y\nz"), (2, None, None, None)]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.depth, r.position) for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {(1, None): (None, 0, 0), (1, 0): (None, 0, 1), (1, 1): (0, 1, 2), (2, None): (None, 0, 0)}
