@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Edge cases: every stage takes nulls in any column, repeated rows, further columns of any name, and an empty table. Null and
+empty texts have no words and go at the quality rules. Of repeated rows one stays after the n-gram join. Without labels
+the classifier scores all alike and keeps them, without benchmark items nothing is contaminated, and an empty
+table packs into no pieces. All stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
