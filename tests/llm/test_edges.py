@@ -510,3 +510,22 @@ def test_chat_with_null_turns(spark):
     rows = [(1, None, "a", "x"), (1, 0, "b", "y"), (1, 1, "a", "> y\nz"), (2, None, None, None)]
     got = {(r.conv_id, r.turn): (r.reply_to, r.depth, r.position) for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert got == {(1, None): (None, 0, 0), (1, 0): (None, 0, 1), (1, 1): (0, 1, 2), (2, None): (None, 0, 0)}
+
+
+def test_pipeline_stages_with_nulls_repeats_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline as C
+
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id").where("length(text) between 600 and 3000").limit(3)
+    rows = [tuple(r) for r in good.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    made = [*rows, rows[0], rows[0], (None, rows[1][1], None, None, None), (None, None, None, None, None), (7, "", None, None, 0), (8, "x", None, None, 1), (9, "word " * 30_000, None, None, 1)]
+    docs = spark.createDataFrame(made, DOCS).select("*", F.lit(1).alias("score"), F.lit(2).alias("k"), F.lit(3).alias("longest"), F.lit(4).alias("fail_bits"))
+    for name, stage in C.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        assert len(docs.columns) == 9, name
+    kept = docs.collect()
+    assert len({r.text for r in kept}) == len(kept) <= 3 and all(r.text in {x[1] for x in rows} for r in kept) and kept
+    pieces = C.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept}
+    empty = docs.limit(0)
+    for name, stage in C.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
