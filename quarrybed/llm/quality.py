@@ -187,20 +187,36 @@ def _calibrated(model: Model, rows: DataFrame, width: int) -> Model:
     at = np.array([(r.bin + 0.5) * 2 * EDGE / BINS - EDGE for r in got])
     y = np.array([r.label for r in got], dtype=float)
     c = np.array([r["count"] for r in got], dtype=float)
-    w = np.array([1.0, 0.0])
-    design = np.stack([at, np.ones_like(at)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
-        grad = design.T @ (c * (p - y)) + np.array([1e-3, 1e-3]) * w
-        hess = (design.T * (c * p * (1 - p))) @ design + np.diag([1e-3, 1e-3])
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
+    w = logistic_line(at, y, c)
     model.slope, model.shift = max(float(w[0]), 1e-3), float(w[1])
     return model
 
 
+def logistic_line(at: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """slope and shift of the logistic curve of least loss through labels y, c times each at `at`. Newton steps are halved
+    until they lower the loss, which is convex, so classes that are all but separated don't throw them off."""
+    design = np.stack([at, np.ones_like(at)], axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((c * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w @ w))
+
+    w = np.zeros(2)
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        grad = design.T @ (c * (p - y)) + ridge * w
+        hess = (design.T * (c * p * (1 - p))) @ design + ridge * np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        gain = float(grad @ step)
+        while (then := loss(w - size * step)) > now - 1e-4 * size * gain and size > 1e-12:
+            size /= 2
+        if size <= 1e-12 or now - then <= 1e-12 * max(1.0, abs(now)):
+            break
+        w, now = w - size * step, then
+    return w
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", shrink: float = 0.05, ridge: float = 1e-3) -> Model:
     """The model of all labelled documents outside the held-out fold."""
     from .common import persist_shared

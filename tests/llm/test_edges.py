@@ -529,3 +529,18 @@ def test_pipeline_stages_with_nulls_repeats_and_empty_tables(spark, sf_dir):
     empty = docs.limit(0)
     for name, stage in C.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
+
+
+def test_calibration_of_classes_that_hardly_overlap():
+    rng = np.random.default_rng(3)
+    for gap, n in ((0.05, 200), (1.0, 5000), (8.0, 100_000), (8.0, 40)):
+        at = np.concatenate([rng.normal(-gap, 1, n), rng.normal(gap, 1, 6 * n)])
+        y = np.repeat([0.0, 1.0], [n, 6 * n])
+        bins, index = np.unique(np.stack([np.round(at, 1), y]), axis=1, return_inverse=True)
+        c = np.bincount(index.ravel()).astype(float)
+        w = quality.logistic_line(bins[0], bins[1], c)
+        loss = lambda w: (c * (np.logaddexp(0, bins[0] * w[0] + w[1]) - bins[1] * (bins[0] * w[0] + w[1]))).sum() + 5e-4 * (w @ w)  # noqa: E731, B023
+        assert w[0] > 0 and all(loss(w) <= loss(w + d) + 1e-6 for d in rng.normal(0, 0.2, (300, 2)))
+        if gap == 8.0:
+            p = 1 / (1 + np.exp(-(bins[0] * w[0] + w[1])))
+            assert ((p >= 0.3) == bins[1]).all()
