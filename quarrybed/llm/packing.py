@@ -203,11 +203,10 @@ def pack(pieces: DataFrame, *, max_tokens: int = 4096, bucket_rows: int = BUCKET
     spark = pieces.sparkSession
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # max_tokens rows at most
     places = spark.sparkContext.broadcast(intervals(shortest_pack_first({r.length: r.n for r in counts}, max_tokens)))
-    # ranks without gaps within a length: ranked in hash buckets, as many as its pieces ask for, shifted by the buckets before;
-    # equal rows are dealt by a number of their own, so a document that is repeated without end doesn't fill one bucket
-    buckets = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.length, -(-r.n // bucket_rows))]), F.col("length")) if counts else F.lit(1)
-    salted = F.when(buckets > 1, F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())).otherwise(0)
-    keyed = pieces.withColumn("_b", F.pmod(salted, buckets.cast("bigint")))
+    # ranks without gaps within a length: ranked in hash buckets, as many as its pieces ask for, shifted by the buckets before
+    asked = {r.length: max(-(-r.n // bucket_rows), min(256, -(-r.n // 16))) for r in counts}
+    buckets = F.element_at(F.create_map(*[F.lit(x) for pair in asked.items() for x in pair]), F.col("length")) if asked else F.lit(1)
+    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), buckets.cast("bigint")))
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32")) - 1
     sizes = keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
