@@ -309,3 +309,12 @@ def test_labels_beyond_a_megabyte_are_renamed(spark):
     routines = spark.createDataFrame([(0x100004, "far"), (0x10000, "wrong"), (0x10, "near")], "address bigint, name string")
     got = {(r.line, r.routine_hits) for r in N.renamed_lines(lines, routines, spark.createDataFrame([], "segment string, address bigint, name string")).collect()}
     assert got == {("far: call near", 2), ("L_FFFFF: nop", 0)}
+
+
+def test_audit_reads_labels_beyond_a_megabyte(spark):
+    text = ["L_100004:", "  jmp L_100024", "  call L_100014", "L_100014:", "  ret"]
+    lines = spark.createDataFrame(list(enumerate(text)), "n bigint, line string")
+    routines = spark.createDataFrame([(0x100004, "a"), (0x100020, "b")], "address bigint, name string")
+    none = spark.createDataFrame([], "segment string, address bigint, name string")
+    got = {(r.kind, r.address) for r in N.name_audit(lines, routines, none).collect()}
+    assert got == {("unnamed call", 0x100014), ("ghost", 0x100020), ("tail", 0x100024)}
