@@ -175,3 +175,29 @@ def test_weighted_jaccard_equals_all_pairs(spark):
     got = {(r.a, r.b): round(r.score, 9) for r in T.weighted_jaccard(df(a, "a"), df(b, "b"), wd, "a", "b", 0.4).collect()}
     sim = lambda s, t: sum(w[x] for x in s & t) / sum(w[x] for x in s | t)
     assert got == {(i, j): round(sim(s, t), 9) for i, s in a.items() for j, t in b.items() if sim(s, t) >= 0.4}
+
+
+def test_reach_counts_equal_a_search():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (12, 9), (40, 36), (40, 60), (90, 85), (400, 380)):
+        e = rng.integers(0, n, (2, m))
+        for words in (1, 1 << 24):
+            got = G.reach_counts(n, e[0], e[1], words)
+            for v in range(n):
+                seen, todo = {v}, [v]
+                while todo:
+                    at = todo.pop()
+                    new = set(e[1][e[0] == at].tolist()) - seen
+                    seen |= new
+                    todo += new
+                assert got[v] == len(seen)
+
+
+def test_reach_makes_no_row_a_pair(spark):
+    n = 3000  # one ring: 9,000,000 pairs
+    ring = spark.range(n).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), (F.col("id") + 1) % n).alias("dst"))
+    edges = ring.unionByName(spark.createDataFrame([("a", "n0"), ("b", "a"), ("x", None), ("n5", "end")], "src string, dst string"))
+    got = {r.node: r.reach for r in G.reach(edges).collect()}
+    assert got["n0"] == got["n7"] == n + 1 and got["a"] == n + 2 and got["b"] == n + 3 and len(got) == n + 2
+    few = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 1), (4, 2), (1, 2)], "src bigint, dst bigint")
+    assert sorted(G.reach(few).collect()) == sorted(G.reach(few, most_edges=0).collect())
