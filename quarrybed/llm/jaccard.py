@@ -71,6 +71,12 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """A worker stays for later stages; the words it held and memory it has free do not."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -241,15 +247,20 @@ def _merged(raws: list[bytes]):
         ks.append(np.cumsum(k, dtype=np.uint64))
         sizes.append(size)
         shingles.append(np.cumsum(shingle, dtype=np.uint64))
-        owners.append(index.astype(np.int64) + base)
+        owners.append(index.astype(np.uint32) + np.uint32(base))
         heavies.append(np.cumsum(heavy, dtype=np.uint64))
         base += len(k)
     k, first, inverse = np.unique(np.concatenate(ks), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first]
-    shingle, owner = np.concatenate(shingles), inverse[np.concatenate(owners)]
-    del shingles, owners
+    size, inverse = np.concatenate(sizes)[first], inverse.astype(np.uint32)
+    del ks, sizes, first
+    # each list goes before the next array is made
+    owner = inverse[np.concatenate(owners)]
+    del owners, inverse
+    shingle = np.concatenate(shingles)
+    del shingles
     order = np.lexsort((owner, shingle))
     shingle, owner = shingle[order], owner[order]
+    del order
     new = np.ones(len(shingle), dtype=bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
     return k, size, shingle[new], owner[new], np.unique(np.concatenate(heavies))
@@ -284,17 +295,22 @@ def _dealt(docs: DataFrame, n: int, keys: Keys, fragments: int, least: int, text
                     held, size = {}, 0
         if held:
             yield from blocks(held)
+        forget()
 
     def blocks(held):
         k = np.array(list(held), dtype=np.int64).view(np.uint64)
-        sets = list(held.values())
         by = np.argsort(k)
+        sets = list(held.values())
+        held.clear()
         sizes = np.array([len(sets[i]) for i in by], dtype=np.uint64)
         shingle = np.concatenate([sets[i] for i in by])
+        del sets
         owner = np.repeat(np.arange(len(by), dtype=np.uint32), sizes.astype(np.int64))
         order = np.argsort(shingle)
+        shingle, owner = shingle[order], owner[order]
+        del order
         none = np.zeros(0, dtype=np.uint64)
-        for f, block in _fragment_rows(k[by], sizes, shingle[order], owner[order], none, coarse, 0, outer * inner, outer * inner):
+        for f, block in _fragment_rows(k[by], sizes, shingle, owner, none, coarse, 0, outer * inner, outer * inner):
             yield _row(f, block)
 
     small_batches(docs.sparkSession)
@@ -339,7 +355,9 @@ def _shared(dealt: DataFrame, fragments: int) -> DataFrame:
         if frag >= fragments:
             out = [(frag - fragments, raw) for raw in raws]
         else:
+            del group
             k, size, shingle, owner, heavy = _merged(raws)
+            del raws
             runs = _edges(shingle)
             freq = np.diff(runs).astype(np.int64)
             unique = shingle[np.array(runs[:-1], dtype=np.int64)] if len(shingle) else shingle
@@ -347,8 +365,10 @@ def _shared(dealt: DataFrame, fragments: int) -> DataFrame:
             df = np.repeat(np.minimum(freq, HEAVY), np.diff(runs))
             place = np.repeat(np.arange(len(freq)), np.diff(runs)).astype(np.uint64) | np.uint64(frag << PLACE_BITS)
             place = np.where(df >= HEAVY, shingle >> np.uint64(4), place)
+            del shingle
             keep = df > 1
-            out = list(_bucket_rows(k, size, owner[keep], place[keep], df[keep].astype(np.uint64), fragments, 0))
+            owner, place, df = owner[keep], place[keep], df[keep].astype(np.uint64)
+            out = list(_bucket_rows(k, size, owner, place, df, fragments, 0))
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([x for _, x in out], pa.binary())})
 
     return dealt.groupBy("frag").applyInArrow(count, "bucket int, block binary")

@@ -544,3 +544,25 @@ def test_calibration_of_classes_that_hardly_overlap():
         if gap == 8.0:
             p = 1 / (1 + np.exp(-(bins[0] * w[0] + w[1])))
             assert ((p >= 0.3) == bins[1]).all()
+
+
+def test_dealing_keeps_no_words(monkeypatch):
+    class Rows:  # a table that runs its function here
+        sparkSession = columns = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    import pyarrow as pa
+
+    rows = Rows()
+    monkeypatch.setattr(jaccard, "small_batches", lambda spark: None)
+    monkeypatch.setattr(jaccard.F, "col", lambda c: rows)
+    monkeypatch.setattr(Rows, "alias", lambda self, _: self, raising=False)
+    jaccard._dealt(rows, 2, jaccard.Keys(), 1, 1, "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three", "four five"], pa.string())], names=["text"])
+    assert len(list(rows.run(iter([batch])))) == 1 and len(jaccard._hashes) == 0
