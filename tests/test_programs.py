@@ -6,6 +6,7 @@ import struct
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from quarrybed.operators import features as T
 from quarrybed.operators import identify as D
 from quarrybed.operators import instructions as N
 from quarrybed.operators import intervals as I
+from quarrybed.operators import pairs as Q
 from quarrybed.plans import catalog, programs
 from quarrybed.sources import binary as B
 from quarrybed.sources import omf
@@ -111,6 +113,38 @@ def test_identification_refuses_what_it_would_lose(builds):
         D.identify(ev, threshold=0.3)
 
 
+def test_identification_keeps_no_table_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    held, put = [], D.persist_shared
+    for module in (D, Q):
+        monkeypatch.setattr(module, "persist_shared", lambda df, name: held.append((out := put(df, name)).count()) or out)
+    monkeypatch.setattr(Q, "BLOCK", 16)
+    counts = [[rng.randrange(6) for _ in range(3)] for _ in range(50)]
+    own = [[999, 1000 + i % 30, *(2000 + rng.randrange(9) for _ in range(i % 3))] for i in range(50)]
+    calls = [[rng.randrange(50) for _ in range(4)] for _ in range(50)]
+    fields = "constants array<bigint>, strings array<string>, calls array<string>, cyclomatic int, loops int, returns int"
+    src = spark.createDataFrame([(f"f{i}", "m", i, 4 + i % 9, own[i], [f"t {i}"] if i % 4 == 0 else [], [f"f{x}" for x in calls[i]], *counts[i]) for i in range(50)], f"name string, file string, line int, body_lines int, {fields}")
+    binary = spark.createDataFrame([(str(i), 11 + 2 * i % 18, own[i][: 1 + i % 3], [f"t {i}"] if i % 4 == 0 else None, [str(x) for x in calls[i][:3]], *counts[i]) for i in range(50)], "entry string, instruction_count int, " + fields.replace("constants", "scalars"))
+    got = {(r.source, r.binary): r.score for r in D.identify(D.gathered(src, binary)).collect()}
+    want = {(a, b): s for a, b, s in Scan(src.collect(), binary.collect()).run()}
+    assert set(got) == set(want) and len(want) > 30 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert max(held) < 50 * 50 / 2  # every pair shares 999
+
+
+def test_shared_amounts_equal_counting():
+    rng = random.Random(4)
+    for few in (2, 2000):  # many cells share something, or next to none
+        sides = [[sorted({rng.randrange(few) for _ in range(rng.randrange(3))}) for _ in range(n)] for n in (40, 60)]
+        lists = [Q.Lists(np.cumsum([0, *map(len, s)]), np.array([t for x in s for t in x], np.int64), np.array([t + 0.5 for x in s for t in x])) for s in sides]
+        a, b = (Q.Block(None, np.zeros((1, 6)), np.zeros(len(s), int), None, {}, {"c": x}, {"c": x.inverted()}, {}) for s, x in zip(sides, lists, strict=True))
+        for every in (False, True):
+            got = {}
+            for lo, _, at, amounts in Q.Tile(a, b, 1.0).shared(("c",), every):
+                got |= {(int(k) // 60 + lo, int(k) % 60): v for k, v in zip(at, amounts.get("c", np.zeros(len(at))), strict=True)}
+            want = {(i, j): sum(t + 0.5 for t in set(x) & set(y)) for i, x in enumerate(sides[0]) for j, y in enumerate(sides[1]) if every or set(x) & set(y)}
+            assert got == want
+
+
 def plain_alignment(score, floor=0.25, gap=-0.25):
     n, m = len(score), len(score[0])
     use = [[v if v >= floor else -0.05 for v in row] for row in score]
