@@ -184,6 +184,17 @@ def test_alignment_along_the_module_order(builds, spark):
     assert again.columns == ["source", "binary", "score"] and again.count() > 10
 
 
+def test_alignment_in_tiles(builds, spark, monkeypatch):
+    monkeypatch.setattr(D, "MOST_CELLS", 100, raising=False)  # there is no such limit any more
+    src, binary = (df.where(cond) for df, cond in zip(builds, ("line < 90", "cast(entry as int) < 1400"), strict=True))
+    ev = D.gathered(src, binary)
+    anchors = D.identify(ev, rounds=1)
+    order = D.module_order(ev, anchors)
+    whole = {tuple(r) for r in D.align(ev, anchors, order).collect()}
+    monkeypatch.setattr(Q, "BLOCK", 16)
+    assert {tuple(r) for r in D.align(ev, anchors, order).collect()} == whole and len(whole) > 40
+
+
 # ---------------------------------------------------------------- Pascal images
 
 
